@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("copies", "runs", "terms", "lookalikes")
+_MODULES = ("copies", "runs", "terms", "lookalikes", "packing", "leaks")
 
 
 def _all(attr: str) -> dict:
