@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("copies", "runs", "terms", "lookalikes", "packing", "leaks", "truncation")
+_MODULES = ("copies", "runs", "terms", "lookalikes", "packing", "leaks", "truncation", "abuse")
 
 
 def _all(attr: str) -> dict:
