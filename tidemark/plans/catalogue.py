@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-FLAGSHIP = "p4_found"
-_MODULES = ("data_problems",)
+FLAGSHIP = "weighted_hard"
+_MODULES = ("data_problems", "pipelines", "corpus_queries")
 
 
 def _all(attr: str) -> dict:
