@@ -10,6 +10,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.session import materialise
 
@@ -82,7 +83,7 @@ def call(backend: Backend, system: str, user: str, temperature: float, wait=time
 def label(samples: DataFrame, backend: Backend, system: str = "", text: str = "content", concurrency: int = 5, temperatures: tuple[float, float] = (0.2, 0.8)) -> DataFrame:
     """Adds raw answers ``raw_a`` and ``raw_b`` of two paths. Each task keeps a bounded number of calls open; the result is written once, so retried
     tasks of later stages never ask again."""
-    schema = samples.schema.add("raw_a", "string").add("raw_b", "string")
+    schema = StructType([*samples.schema.fields, StructField("raw_a", StringType()), StructField("raw_b", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(concurrency) as pool:
