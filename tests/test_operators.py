@@ -328,3 +328,13 @@ def test_jsd_is_symmetric_and_bounded(spark):
     d = spark.createDataFrame([(a, b), (b, a)], f"path_a {OUT}, path_b {OUT}")
     x, y = (r[0] for r in d.select(consensus.jsd_score("path_a", "path_b")).collect())
     assert x == pytest.approx(y) and 0 <= x <= 1 and math.isfinite(x)
+
+
+def test_closed_form_equals_arrays(spark):
+    labels = consensus.EMOTION
+    cases = [(a, x, b, y) for a in ("positive", "neutral", "odd", None) for b in ("positive", "negative", "odd", None) for x, y in ((0.9, 0.4), (1.0, 0.5))]
+    d = spark.createDataFrame(cases, "a string, x double, b string, y double")
+    c = [F.col(n) for n in "axby"]
+    want = consensus.normalised_jsd(consensus.distribution(c[0], c[1], labels), consensus.distribution(c[2], c[3], labels))
+    for r in d.select(want.alias("w"), consensus.categorical_jsd(c[0], c[1], c[2], c[3], labels).alias("g")).collect():
+        assert r.g == pytest.approx(r.w, abs=1e-9)

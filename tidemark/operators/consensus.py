@@ -38,15 +38,31 @@ def normalised_jsd(p: Column, q: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / F.lit(2.0) / F.log(F.lit(2.0))
 
 
+def categorical_jsd(la: Column, ca: Column, lb: Column, cb: Column, labels: Sequence[str]) -> Column:
+    """``normalised_jsd`` of the distributions of two labels with confidences, in closed form: outside the labels named, all
+    entries of a distribution are equal, so at most three terms differ and no array is needed."""
+    n = len(labels)
+    known = lambda x: F.coalesce(x.isin(*labels), F.lit(False))
+    smooth = lambda x: (x + EPS) / (1.0 + n * EPS)
+    top = lambda x, c: smooth(F.when(known(x), c).otherwise(F.lit(1.0 / n)))
+    rest = lambda x, c: smooth(F.when(known(x), (F.lit(1.0) - c) / (n - 1.0)).otherwise(F.lit(1.0 / n)))
+    term = lambda x, y: x * F.log(2.0 * x / (x + y)) + y * F.log(2.0 * y / (x + y))
+    a, ra, b, rb = top(la, ca), rest(la, ca), top(lb, cb), rest(lb, cb)
+    same = la.eqNullSafe(lb) | ~known(la) | ~known(lb)
+    total = F.when(same, term(a, b) + (n - 1.0) * term(ra, rb)).otherwise(term(a, rb) + term(ra, b) + (n - 2.0) * term(ra, rb))
+    # an unknown label is uniform: then the other's label decides which entry is the odd one
+    total = F.when(known(la) & ~known(lb), term(a, rb) + (n - 1.0) * term(ra, rb)).when(~known(la) & known(lb), term(ra, b) + (n - 1.0) * term(ra, rb)).otherwise(total)
+    return total / F.lit(2.0) / F.log(F.lit(2.0))
+
+
 def jsd_score(a: str, b: str) -> Column:
     """Mean over emotion, interaction, orthography and violation of two output structs; with fewer than two outputs 0."""
     c = lambda s, f: F.col(f"{s}.{f}")
-    dims = []
-    for dim, field, labels in (("emotion", "label", EMOTION), ("interaction_type", "label", INTERACTION), ("orthography", "status", ORTHOGRAPHY)):
-        one = lambda s, dim=dim, field=field, labels=labels: distribution(c(s, f"{dim}.{field}"), F.coalesce(c(s, f"{dim}.confidence"), F.lit(0.5)), labels)
-        dims.append(normalised_jsd(one(a), one(b)))
-    violated = lambda s: F.when(F.coalesce(c(s, "cooperative_principle.violated"), F.lit(False)), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
-    dims.append(normalised_jsd(violated(a), violated(b)))
+    conf = lambda s, dim: F.coalesce(c(s, f"{dim}.confidence"), F.lit(0.5))
+    dims = [categorical_jsd(c(a, f"{dim}.{field}"), conf(a, dim), c(b, f"{dim}.{field}"), conf(b, dim), labels)
+            for dim, field, labels in (("emotion", "label", EMOTION), ("interaction_type", "label", INTERACTION), ("orthography", "status", ORTHOGRAPHY))]
+    word = lambda s: F.when(F.coalesce(c(s, "cooperative_principle.violated"), F.lit(False)), "y").otherwise("n")
+    dims.append(categorical_jsd(word(a), F.lit(1.0), word(b), F.lit(1.0), ("y", "n")))
     return F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0.0)).otherwise(sum(dims[1:], dims[0]) / 4.0)
 
 

@@ -122,7 +122,10 @@ def dynamic_segments(comments: DataFrame, settings: Settings = DEFAULT) -> DataF
         out.insert(0, "bvid", g["bvid"].iloc[0])
         return out
 
-    s = _bins(comments).groupBy("bvid").applyInPandas(cut, "bvid string, segment_id int, first_bin long, n long, start_time double, end_time double")
+    # the signals are small but costly: a fixed number of partitions keeps adaptive execution from packing them into one task
+    spark = comments.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    s = _bins(comments).repartition(tasks, "bvid").groupBy("bvid").applyInPandas(cut, "bvid string, segment_id int, first_bin long, n long, start_time double, end_time double")
     d = F.col("end_time") - F.col("start_time")
     return label_zones(s.withColumn("density", F.when(d > 0, F.col("n") / d).otherwise(F.lit(0.0))))
 
