@@ -62,7 +62,7 @@ def test_lookalike_classes_are_disjoint_and_transitive():
     seen = Counter(m for c in lookalikes.look_classes() for m in c)
     assert max(seen.values()) == 1
     of = {m: i for i, c in enumerate(lookalikes.look_classes()) for m in c}
-    assert of["а"] == of["ａ"] == of["a"] and of["é"] == of["é"] == of["е́"] and of["a"] != of["A"]
+    assert of["а"] == of["ａ"] == of["a"] and of["é"] == of["é"] and of["\u0450"] == of["\u00e8"] and of["a"] != of["A"]
 
 
 # --- 2: terms -----------------------------------------------------------------------------------------------------
