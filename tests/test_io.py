@@ -110,3 +110,27 @@ def test_settings():
 
 def test_cli_lists_queries(capsys):
     assert main(["list"]) == 0 and "p4_found" in capsys.readouterr().out
+
+
+def test_prompts(spark):
+    from tidemark.functions import prompts as P
+
+    d = spark.createDataFrame([("Game", ["a", "b", "c", "d", "e", "f"], 1, "hi"), (None, None, 2, "yo")], "tname string, tags array<string>, pick int, content string")
+    a, b = (r[0] for r in d.select(P.system_prompt(F.col("tname"), F.col("tags"), {"Game": "scores"})).collect())
+    assert "scores" in a and "a, b, c, d, e." in a and "none" in b and P.DEFAULT_HINT in b
+    r = P.batch_prompts(d.withColumns({"bvid": F.lit("v"), "segment_id": F.lit(0)})).first()
+    assert r.expected == 2 and "1. hi\n2. yo" in r.prompt
+    assert json.loads(P.narrative_input(d, "pick", 1))[0]["content"] == "yo"
+
+
+def test_config_files(tmp_path):
+    from tidemark.sources import config as C
+
+    (tmp_path / "a.env").write_text("# c\nX=1\nY='2'\n")
+    (tmp_path / "b.env").write_text("X=3\n")
+    assert C.env_values(str(tmp_path / "a.env"), str(tmp_path / "b.env"), "none") == {"X": "3", "Y": "2"}
+    (tmp_path / "t.json").write_text('[{"command": "analyze", "options": {"input": "BV1"}}]')
+    assert C.script_tasks(str(tmp_path / "t.json"))[0]["command"] == "analyze"
+    (tmp_path / "u.json").write_text('[{"command": "rm"}]')
+    with pytest.raises(ValueError):
+        C.script_tasks(str(tmp_path / "u.json"))

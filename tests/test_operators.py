@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import pvalues
 from tidemark.functions import text as T
 from tidemark.functions.bitmap import Container
-from tidemark.operators import aggregate, consensus, corpus, sampling, segments, statistics
+from tidemark.operators import aggregate, compare, consensus, corpus, sampling, segments, statistics
 from tidemark.operators.comments import dedup_stats, first_per_user, from_objects, from_xml, prepared
 from tidemark.operators.dense_totals import dense_totals
 from tidemark.operators.ordinals import assign_ordinals
@@ -221,7 +221,7 @@ def test_wilcoxon(spark):
     r = statistics.wilcoxon_paired(d, [], "x", "y").first()
     assert (r.n_pairs, r.statistic, r.p_value) == (4, 0.0, 0.125)
     same = statistics.wilcoxon_paired(spark.createDataFrame([(1.0, 1.0)] * 3, "x double, y double"), [], "x", "y").first()
-    assert (same.statistic, same.p_value) == (3.0, 1.0)
+    assert (same.statistic, same.p_value) == (4.5, 1.0)
 
 
 def test_pvalues_against_tables():
@@ -338,3 +338,36 @@ def test_closed_form_equals_arrays(spark):
     want = consensus.normalised_jsd(consensus.distribution(c[0], c[1], labels), consensus.distribution(c[2], c[3], labels))
     for r in d.select(want.alias("w"), consensus.categorical_jsd(c[0], c[1], c[2], c[3], labels).alias("g")).collect():
         assert r.g == pytest.approx(r.w, abs=1e-9)
+
+
+# --- corpus comparison --------------------------------------------------------------------------------------------
+
+
+def observed(spark, rows):
+    return spark.createDataFrame(rows, "bvid string, tname string, time_period string, zone_type string, m1 double")
+
+
+def test_corpus_compare(spark):
+    rows = [(f"a{i}", "A", "2025", "hot_zone", 0.1 * i) for i in range(3)] + [(f"b{i}", "B", "2025", "hot_zone", 0.5 + 0.1 * i) for i in range(3)] + [("c", "C", "2025", "hot_zone", 0.1), ("d", " ", "2025", "hot_zone", 0.1)]
+    got = compare.corpus_compare(observed(spark, rows), ["m1"]).collect()
+    kinds = [r.test_type for r in got]
+    assert kinds.count("sample_status") == 3 and kinds.count("kruskal_wallis") == 1 and kinds.count("mann_whitney") == 1 and len(got) == 5
+    assert {r.note for r in got if r.group1 == "C"} == {"insufficient_sample"} and [r.effect_size for r in got if r.test_type == "mann_whitney"] == [-1.0]
+
+
+def test_corpus_compare_axes(spark):
+    by_year = [(f"{y}{i}", "A", y, None, 0.1 * i + int(y) - 2024) for y in ("2024", "2025") for i in range(3)]
+    got = compare.corpus_compare(observed(spark, by_year), ["m1"]).collect()
+    assert {r.group1 for r in got if r.test_type == "sample_status"} == {"2024", "2025"} and all("axis: period" in r.note for r in got if r.test_type == "kruskal_wallis")
+    zones = [(f"v{i}", "A", "2025", z, x + 0.01 * i) for i in range(4) for z, x in (("hot_zone", 0.3), ("cold_zone", 0.6))]
+    p = [r for r in compare.corpus_compare(observed(spark, zones), ["m1"]).collect() if r.test_type == "wilcoxon_paired"]
+    assert [(r.n1, r.effect_size) for r in p] == [(4, -1.0)]
+    few = [r.test_type for r in compare.corpus_compare(observed(spark, zones[:4]), ["m1"]).collect()]
+    assert few.count("wilcoxon_paired") == 0
+
+
+def test_compare_two_and_prefixes(spark):
+    r = compare.compare_two(groups(spark, A=[1, 2, 3, 4, 5], B=[11, 12, 13, 14, 15]), "g", "v").collect()
+    assert len(r) == 2 and all(x.significant for x in r)
+    w = spark.createDataFrame([("t", 1, 0.2, 0.5), ("t", 3, 0.6, None)], "tname string, danmaku_count long, pos_n double, syl_one double")
+    assert {(x.family, x.metric, round(x["mean"], 6)) for x in compare.prefix_means(w, ["pos_n", "syl_one"]).collect()} == {("pos", "pos_n", 0.5), ("syl", "syl_one", 0.5)}

@@ -89,7 +89,7 @@ def mann_whitney(df: DataFrame, within: Sequence[str], group: str, value: str) -
 
 
 def wilcoxon_paired(pairs: DataFrame, within: Sequence[str], x: str, y: str) -> DataFrame:
-    """Signed ranks of x - y per group: (within, n_pairs, statistic, p_value). Nulls and zero differences are left out; all zero: n(n+1)/4, p 1."""
+    """Signed ranks of x - y per group: (within, n_pairs, statistic, p_value). Nulls and zero differences are left out; all zero: n*n/2, p 1."""
     d = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*within, F.round(F.col(x) - F.col(y), 9).alias("d"))
     size = d.groupBy(*within).agg(F.count("*").alias("n_pairs"))
     cells = d.where(F.col("d") != 0).groupBy(*within, F.signum("d").alias("grp"), F.abs("d").alias("value")).agg(F.count("*").alias("c"))
@@ -98,7 +98,7 @@ def wilcoxon_paired(pairs: DataFrame, within: Sequence[str], x: str, y: str) ->
                                F.sum("c").alias("m"), F.sum(F.col("c") * (F.col("t").cast("double") * F.col("t") - 1.0)).alias("ties"))
     j = size.join(g, list(within), "left") if within else size.crossJoin(g)
     n = F.col("n_pairs").cast("double")
-    stat = F.when(F.coalesce("m", F.lit(0)) > 0, F.least("wp", "wm")).otherwise(n * (n + 1) / 4.0)
+    stat = F.when(F.coalesce("m", F.lit(0)) > 0, F.least("wp", "wm")).otherwise(n * n / 2.0)
     p = F.when(F.coalesce("m", F.lit(0)) > 0, _p(lambda w, k, t: wilcoxon_p(w, int(k), t), F.coalesce(F.least("wp", "wm"), F.lit(0.0)), F.coalesce("m", F.lit(0)), F.coalesce("ties", F.lit(0.0)))).otherwise(1.0)
     return j.select(*within, "n_pairs", stat.alias("statistic"), F.round(p, 6).alias("p_value"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import period_bucket
 from tidemark.operators import corpus as K
 from tidemark.operators import statistics as X
+from tidemark.operators.compare import corpus_compare
 from tidemark.operators.snapshots import MEASURES
 from tidemark.plans import views as V
 from tidemark.plans.data_problems import _NAMES
@@ -135,6 +136,18 @@ def q_heatmap_long(s, sf):
     return g.unpivot(["key"], [*MEASURES], "metric", "value")
 
 
+def q_corpus_compare(s, sf):
+    obs = _rounded(_latest(s, sf, "weighted")).withColumn("time_period", period_bucket(F.col("pubdate"), "year"))
+    return corpus_compare(obs)
+
+
+def q_corpus_compare_periods(s, sf):
+    """One category: compared by year, and zones in pairs."""
+    obs = _rounded(_latest(s, sf, "all")).withColumn("time_period", period_bucket(F.col("pubdate"), "year"))
+    largest = obs.groupBy("tname").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "tname").limit(1)
+    return corpus_compare(obs.join(largest, "tname", "left_semi"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _ONCE = "once AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_no, bvid, zone_type ORDER BY delivered_at DESC) AS rn FROM corpus_snapshots) WHERE rn = 1)"
