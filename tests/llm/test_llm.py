@@ -296,3 +296,17 @@ def test_truncation(spark):
     s = {(r.source, r.unit, r.len) for r in truncation.length_tests(truncation.endings(d)).where("significant").collect()}
     assert ("feed", "chars", 200) in s
     assert truncation.truncated(d.limit(0)).count() == 0
+
+
+def test_truncation_with_hot_copies(spark):
+    """Copies of one cut text make its opening no closing, neither for themselves nor for other texts; at a limit no opening excuses."""
+    go_on = [(i, "free", f"Nobody knew why number {i} was there. The tide took {'it ' * (i % 7)}away.") for i in range(20)]
+    hot = [(100 + i, "free", "A quiet start. Nobody knew why the harbour") for i in range(200)]
+    other = [(400, "free", "Rain again. Nobody knew how the")]
+    limited = [(500 + i, "feed", f"Report {i} ends here. Zqx and then {chr(97 + i) * 200}"[:200]) for i in range(12)]
+    d = spark.createDataFrame(go_on + hot + other + limited, "doc_id long, source string, text string")
+    got = {r.doc_id for r in truncation.truncated(d).collect()}
+    assert got >= {r[0] for r in hot + other}
+    uses = {(r.kind, r.key): (r["last"], r.inner) for r in truncation.phrase_uses(d.where("doc_id < 400")).collect()}
+    assert uses["opening", "nob"] == (1, 20)
+    assert got >= {500 + i for i in range(12)}

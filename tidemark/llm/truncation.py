@@ -75,8 +75,9 @@ def endings(docs: DataFrame) -> DataFrame:
 
 
 def phrase_uses(docs: DataFrame) -> DataFrame:
-    """How sentences and lines begin and end over all texts: (``kind``, ``key``, ``last``: uses as the unfinished last piece, ``inner``: other uses)."""
-    p = docs.where(F.col("text").isNotNull()).select(F.split(F.regexp_replace("text", "[…. ]+$", ""), _BREAK).alias("p"))
+    """How sentences and lines begin and end over all texts: (``kind``, ``key``, ``last``: uses as the unfinished last piece, ``inner``: other uses).
+    Each text counts once, however often it was delivered."""
+    p = docs.where(F.col("text").isNotNull()).select("text").distinct().select(F.split(F.regexp_replace("text", "[…. ]+$", ""), _BREAK).alias("p"))
     mark = lambda x, final: F.struct(F.trim(x).alias("piece"), F.lit(final).alias("final"))
     inner = F.transform(F.slice("p", F.lit(1), F.size("p") - 1), lambda x: mark(x, False))
     p = p.select(F.concat(inner, F.array(mark(F.element_at("p", -1), True))).alias("q")).select(F.inline_outer("q")).where(F.col("piece") != "")
@@ -119,8 +120,8 @@ def truncated(docs: DataFrame) -> DataFrame:
     Limits show as lengths at which far more texts end than at the lengths around them. At such a length a text that
     ends inside a word or sentence was cut. Cuts in transfer fall on any length, which no hazard can show; there a text is
     taken as cut if a broken character, entity or address is left, or if its last piece begins as sentences
-    elsewhere begin that do go on. Endings on purpose (closings, tags, credits, and openings that nearly always stand last)
-    are none; dots count as omission after a finished sentence if sentences elsewhere end like that.
+    elsewhere begin that do go on. Endings on purpose (closings, tags, credits, and away from limits openings that nearly
+    always stand last) are none; dots count as omission after a finished sentence if sentences elsewhere end like that.
     Null, empty and blank texts are not cut. Ids that repeat are judged row by row, like texts in like way.
     """
     ends = materialise(endings(docs.select("doc_id", "source", "text")), "endings")
@@ -145,7 +146,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     cut = (
         F.when(F.col("state") == "broken", True)
         .when(F.col("state") == "dots", F.col("c_inner") == 0)
-        .otherwise(~closing & (F.col("limited") | short | (F.col("o_inner") > 0)))
+        .otherwise(F.col("limited") | ~closing & (short | (F.col("o_inner") > 0)))
     )
     return j.where(cut).select("doc_id", "source", F.when(F.col("limited"), "limit").otherwise("transfer").alias("cause"))
 
