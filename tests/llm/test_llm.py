@@ -128,6 +128,18 @@ def test_abuse_edges(spark):
     assert abuse.scored(c.limit(0), "content", ["dm_id"], m).count() == 0
 
 
+def test_abuse_does_not_depend_on_the_collection(spark):
+    """The same text scores alike whatever else, and however often, the collection holds; the cut comes from the labels."""
+    bad, good = [f"you idiot number {c}" for c in "abcdefgh"], [f"nice video number {c}" for c in "abcdefgh"]
+    s = spark.createDataFrame([(t, 1, 1) for t in bad] + [(t, 0, 0) for t in good], "content string, rater_a int, rater_b int")
+    few, hot = comments(spark, [(1, "u", "fine work", 1.0)]), comments(spark, [(i, "u", "what a foolish idjot" if i % 3 else f"text {i}", 1.0) for i in range(3000)])
+    a, b = abuse.train(s, few), abuse.train(s, hot)
+    assert (a.bias, a.weights, a.score("what a foolish idjot")) == (b.bias, b.weights, b.score("what a foolish idjot"))
+    assert all(a.score(t) >= 0.5 for t in bad) and all(a.score(t) < 0.5 for t in good)
+    assert abuse.cut_of(np.array([3.0, 1.0, 1.0, -1.0]), np.array([1.0, 1.0, 1.0, 0.0]), np.ones(4)) == 0.0
+    assert abuse.cut_of(np.array([3.0, -2.0]), np.array([1.0, 1.0]), np.ones(2)) == 0.0
+
+
 # --- 6: runs ------------------------------------------------------------------------------------------------------
 
 
