@@ -322,3 +322,21 @@ def test_truncation_with_hot_copies(spark):
     uses = {(r.kind, r.key): (r["last"], r.inner) for r in truncation.phrase_uses(d.where("doc_id < 400")).collect()}
     assert uses["opening", "nob"] == (1, 20)
     assert got >= {500 + i for i in range(12)}
+
+
+def test_length_hazards_against_brute_force(spark):
+    """Expected counts follow the texts alive at each length; a limit on a steep slope shows."""
+    rng, alive, sizes = random.Random(2), 20_000, Counter()
+    for n in range(1, 120):
+        sizes[n] = max(1, int(alive * 0.05) + rng.randint(-2, 2)) if alive > 0 else 0
+        alive -= sizes[n]
+    sizes[60] *= 6
+    sizes = {n: k for n, k in sizes.items() if k > 0}
+    rows = [(f"{n}-{i}", "s", n, n, hash((n, i))) for n, k in sizes.items() for i in range(k)]
+    d = spark.createDataFrame(rows, "doc_id string, source string, chars int, bytes int, same long")
+    got = {r.len: r for r in truncation.length_tests(d).where("source = 's' and unit = 'chars'").collect()}
+    living = [sum(k for n, k in sizes.items() if n >= x) for x in range(500)]
+    for n, r in got.items():
+        near = [x for x in range(n - 40, n + 41) if x >= 0 and abs(x - n) >= 4]
+        assert r.expected == pytest.approx(living[n] * sum(sizes.get(x, 0) for x in near) / sum(living[x] for x in near))
+    assert {n for n, r in got.items() if r.significant} == {60}

@@ -89,8 +89,9 @@ def phrase_uses(docs: DataFrame) -> DataFrame:
 def length_tests(ends: DataFrame) -> DataFrame:
     """(``source``, ``unit``, ``len``, ``texts``, ``p``, ``significant``): the hazard of ending at a length, of those texts at least so long,
     tested against the hazard of the neighbouring lengths. Each text counts once per source; a null source, and all sources
-    together ('*'), are groups of their own. ``p`` is Chernoff's bound of the Poisson tail, so never too small; significance
-    is by Benjamini and Hochberg's procedure over all lengths of all groups."""
+    together ('*'), are groups of their own. ``expected`` is what the neighbours' hazard gives for the texts alive here (null without neighbours).
+    ``p`` is Chernoff's bound of the binomial tail: of the texts that end here or near, so many here. It holds for
+    few neighbours too, whose hazard is itself uncertain. Significance is by Benjamini and Hochberg's procedure over all lengths of all groups."""
     groups = F.array(F.coalesce("source", F.lit("")), F.lit("*"))
     units = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("long").alias("len")) for u in ("chars", "bytes")])
     once = ends.select(F.explode(groups).alias("source"), "chars", "bytes", "same").distinct()
@@ -98,19 +99,27 @@ def length_tests(ends: DataFrame) -> DataFrame:
     by = W.partitionBy("source", "unit").orderBy("len")
     down = W.partitionBy("source", "unit").orderBy(F.desc("len")).rowsBetween(W.unboundedPreceding, 0)
     h = sizes.withColumn("alive", F.sum("texts").over(down))
-    near = lambda c: sum(F.coalesce(F.sum(c).over(by.rangeBetween(a, b)), F.lit(0)) for a, b in ((-REACH, -GAP), (GAP, REACH)))
-    # texts that end near, per length near, of the texts alive here
-    steps = 2 * (REACH - GAP + 1)
-    expected = (near("texts") + F.lit(0.5)) / F.lit(float(steps))
-    n = F.col("texts").cast("double")
-    p = F.when(n > F.col("expected"), F.exp(n - F.col("expected") - n * F.log(n / F.col("expected")))).otherwise(F.lit(1.0))
+    # texts that end near, and over the lengths near the texts alive there: a length that nobody reaches adds nothing, one at which nobody ends does
+    over = lambda c, a, b: F.coalesce(F.sum(c).over(by.rangeBetween(a, b)), F.lit(0))
+    ends_near = over("texts", -REACH, -GAP) + over("texts", GAP, REACH)
+    low = F.greatest(F.col("len") - REACH, F.lit(0))
+    below = F.greatest(F.col("len") - GAP - low + 1, F.lit(0)) * over("texts", -GAP, W.unboundedFollowing) + over(F.col("texts") * F.col("len"), -REACH, -GAP - 1) - (low - 1) * over("texts", -REACH, -GAP - 1)
+    above = (REACH - GAP + 1) * over("texts", REACH, W.unboundedFollowing) + over(F.col("texts") * F.col("len"), GAP, REACH - 1) - (F.col("len") + GAP - 1) * over("texts", GAP, REACH - 1)
+    h = h.withColumn("near", ends_near).withColumn("alive_near", F.when(F.col("len") >= GAP, below).otherwise(0) + above)
+    n, m = F.col("texts").cast("double"), F.col("near").cast("double")
+    # of the texts that end here or near, the share that equal hazards would end here
+    share = F.col("alive") / (F.col("alive") + F.col("alive_near"))
+    part = n / (n + m)
+    bound = F.exp(-n * F.log(part / share) - F.when(m > 0, m * F.log((1 - part) / (1 - share))).otherwise(0.0))
+    p = F.when(part > share, bound).otherwise(F.lit(1.0))
+    expected = F.when(F.col("alive_near") > 0, F.col("alive") * m / F.col("alive_near"))
     tests = h.withColumn("hazard", F.col("texts") / F.col("alive")).withColumn("expected", expected).withColumn("p", p).where(F.col("texts") >= LEAST)
     tests = materialise(tests, "length-tests")
-    m = tests.count()
+    count = tests.count()
     # only p below FDR can pass, so only those are ranked
     ranked = tests.where(F.col("p") <= FDR).withColumn("rank", F.row_number().over(W.orderBy("p", "source", "unit", "len")))
-    top = ranked.where(F.col("p") <= F.col("rank") * F.lit(FDR / max(m, 1))).agg(F.max("p")).first()[0]
-    return tests.withColumn("significant", (F.col("p") <= F.lit(-1.0 if top is None else top)) & (F.col("texts") >= RATIO * F.col("expected")))
+    top = ranked.where(F.col("p") <= F.col("rank") * F.lit(FDR / max(count, 1))).agg(F.max("p")).first()[0]
+    return tests.withColumn("significant", (F.col("p") <= F.lit(-1.0 if top is None else top)) & F.coalesce(F.col("texts") >= RATIO * F.col("expected"), F.lit(False)))
 
 
 def truncated(docs: DataFrame) -> DataFrame:
