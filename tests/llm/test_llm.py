@@ -104,40 +104,70 @@ def test_marks(spark):
 
 @data
 def test_abuse_held_out(spark):
-    import pandas as pd
-
-    m = pd.read_parquet(f"{SF}/moderation_samples.parquet")
-    texts, y, w = abuse.labels([(c, a, None if pd.isna(b) else b) for c, a, b in zip(m.content, m.rater_a, m.rater_b, strict=True)])
-    test = np.arange(len(y)) % 4 == 0
-    model = abuse.fit([t for t, x in zip(texts, test, strict=True) if not x], y[~test], w[~test])
-    said = np.array([model.worst(t) > -1.0 for t, x in zip(texts, test, strict=True) if x])
-    assert (said == (y[test] == 1)).mean() > 0.9
+    """Labelled texts that the fit has not seen, at the shipped threshold: the other parts are the labels, all texts the collection."""
+    m = spark.read.parquet(f"{SF}/moderation_samples.parquet").where("rater_a = rater_b")
+    part = F.pmod(F.xxhash64("content"), F.lit(4)) == 0
+    test = spark.read.parquet(f"{SF}/comments.parquet").select("dm_id", "content", F.lit(None).cast("int").alias("y"))
+    test = test.unionByName(m.where(part).select(F.lit(-1).cast("long").alias("dm_id"), "content", F.col("rater_a").alias("y")))
+    got = abuse.scored(test, "content", ["y"], m.where(~part)).where("y is not null").collect()
+    bad, said = [r.score >= abuse.THRESHOLD for r in got if r.y == 1], [r for r in got if r.score >= abuse.THRESHOLD]
+    assert len(bad) > 50 and sum(bad) / len(bad) >= 0.9
+    assert sum(r.y == 1 for r in said) / len(said) >= 0.95
+
+
+def abuse_samples(spark, more=()):
+    bad, good = ["you idiot", "such an idiot you are"] * 6, ["nice video", "great music here"] * 6
+    rows = [(t, 1, 1) for t in bad] + [(t, 0, None) for t in good] + [(None, 1, 1), ("", 0, 0), ("x", 1, 0), ("y", None, None), *more]
+    return spark.createDataFrame(rows, "content string, rater_a int, rater_b int")
 
 
 def test_abuse_edges(spark):
-    bad, good = ["you idiot", "such an idiot you are"] * 6, ["nice video", "great music here"] * 6
-    rows = [(t, 1, 1) for t in bad] + [(t, 0, None) for t in good] + [(None, 1, 1), ("", 0, 0), ("x", 1, 0), ("y", None, None)]
-    s = spark.createDataFrame(rows, "content string, rater_a int, rater_b int")
+    s = abuse_samples(spark)
     m = abuse.train(s)
-    assert m.worst("what an i​dIOt you are") > m.worst("nice music")
-    c = comments(spark, [(1, "u", None, 1.0), (2, "u", " ", 1.0), (3, "u", LONG, 1.0), (4, "u", "you idiot", None), (4, "u", "you idiot", None)])
-    got = [(r.dm_id, r.score) for r in abuse.scored(c, "content", ["dm_id"], m).collect()]
-    assert len(got) == 5 and all(0 <= x <= 1 for _, x in got) and dict(got)[1] == 0 and dict(got)[2] == 0
-    assert abuse.train(s.limit(0)).score("anything") <= 0.5
-    assert abuse.train(s, c).score("you idiot") > 0
-    assert abuse.scored(c.limit(0), "content", ["dm_id"], m).count() == 0
-
-
-def test_abuse_does_not_depend_on_the_collection(spark):
-    """The same text scores alike whatever else, and however often, the collection holds; the cut comes from the labels."""
-    bad, good = [f"you idiot number {c}" for c in "abcdefgh"], [f"nice video number {c}" for c in "abcdefgh"]
-    s = spark.createDataFrame([(t, 1, 1) for t in bad] + [(t, 0, 0) for t in good], "content string, rater_a int, rater_b int")
-    few, hot = comments(spark, [(1, "u", "fine work", 1.0)]), comments(spark, [(i, "u", "what a foolish idjot" if i % 3 else f"text {i}", 1.0) for i in range(3000)])
+    a, b, none = m.worst(["what an i\u200bdIOt you are", "nice music", "！！"])
+    assert a > b and none == abuse.NOTHING
+    c = comments(spark, [(1, "u", None, 1.0), (2, "u", " ", 1.0), (3, "u", LONG, 1.0), (4, "u", "you idiot", None), (4, "u", "you idiot", None), (5, "u", "nice video", 1.0)])
+    got = [(r.dm_id, r.score) for r in abuse.scored(c, "content", ["dm_id"], s).collect()]
+    assert len(got) == 6 and all(0 <= x <= 1 for _, x in got) and dict(got)[1] == 0 and dict(got)[2] == 0 and dict(got)[4] >= 0.5 > dict(got)[5]
+    assert all(x < 1e-9 for (x,) in abuse.scored(c, "content", [], s.limit(0)).collect())
+    assert abuse.scored(c.limit(0), "content", ["dm_id"], s).count() == 0
+
+
+def test_abuse_windows():
+    """Windows are the whole, the clauses and pieces of bounded width; the sums over them are those of their n-grams."""
+    texts = ["only a d3generate would edit like this!! does it", "", "废．物一个，你妈没教过你吗", "Ѕоrіѕ is 12:30", "！！！", "x" * 3000, "a\nb " * 40]
+    w = abuse.Windows(texts)
+    assert set(w.text.tolist()) == {0, 2, 3, 5, 6} and len(abuse.Windows(texts, whole=True).spans) == 5
+    rows, keys = w.grams(np.arange(len(w.spans)))
+    v = abuse.Vocabulary(np.unique(keys)[::3])
+    m = abuse.Model(0.5, v, np.random.default_rng(1).normal(size=len(v.keys)))
+    want = 0.5 + np.bincount(rows, weights=m.weight_of(keys), minlength=len(w.spans))
+    assert np.allclose(w.sums(m), want)
+    one = np.concatenate([m.worst([t]) for t in texts])
+    assert np.allclose(m.worst(texts), one)
+    same = m.worst(["Ѕоrіѕ said", "soris said", "s\u200boris SAID"])
+    assert same[0] == same[1] == same[2]
+
+
+def test_abuse_does_not_depend_on_copies(spark):
+    """The same text gets the same logit however often the collection holds texts; the ratios see shares of distinct texts."""
+    s = abuse_samples(spark)
+    few = comments(spark, [(i, "u", f"fine work {i}", 1.0) for i in range(20)] + [(99, "u", "what a foolish idjot", 1.0)])
+    hot = few.unionByName(comments(spark, [(1000 + i, "u", "what a foolish idjot", 1.0) for i in range(500)]))
     a, b = abuse.train(s, few), abuse.train(s, hot)
-    assert (a.bias, a.weights, a.score("what a foolish idjot")) == (b.bias, b.weights, b.score("what a foolish idjot"))
-    assert all(a.score(t) >= 0.5 for t in bad) and all(a.score(t) < 0.5 for t in good)
-    assert abuse.cut_of(np.array([3.0, 1.0, 1.0, -1.0]), np.array([1.0, 1.0, 1.0, 0.0]), np.ones(4)) == 0.0
-    assert abuse.cut_of(np.array([3.0, -2.0]), np.array([1.0, 1.0]), np.ones(2)) == 0.0
+    assert a.bias == b.bias and np.array_equal(a.weights, b.weights)
+    score = lambda c: {r.content: r.score for r in abuse.scored(c, "content", ["content"], s).collect()}
+    assert score(few) == score(hot)
+
+
+def test_abuse_cut():
+    hill = {i: int(4000 * 0.5 ** abs(i + 40)) + 3 for i in range(-60, 80)}
+    cut = abuse.cut_of(hill, np.array([5.0]))
+    at = round(cut / abuse.BIN)
+    over = sum(max(n - 3, 0) for i, n in hill.items() if i >= at)
+    assert cut < 0 and over <= 0.03 * sum(n for i, n in hill.items() if i >= at)
+    assert abuse.cut_of(hill | {10: 50_000}, np.array([5.0])) <= cut  # a hot bin among the abusive texts does not raise it
+    assert abuse.cut_of({}, np.array([1.0])) == 0.0 and abuse.cut_of({-5: 9}, np.zeros(0)) == 0.0 and abuse.cut_of({3: 9}, np.array([1.0])) == 0.0
 
 
 # --- 6: runs ------------------------------------------------------------------------------------------------------
