@@ -349,11 +349,27 @@ def test_truncation_with_hot_copies(spark):
     d = spark.createDataFrame(go_on + hot + other + limited, "doc_id long, source string, text string")
     got = {r.doc_id for r in truncation.truncated(d).collect()}
     assert got >= {r[0] for r in hot + other}
-    uses = {(r.kind, r.key): (r["last"], r.inner) for r in truncation.phrase_uses(d.where("doc_id < 400")).collect()}
-    assert uses["opening", "nob"] == (1, 20)
+    uses = {(r.kind, r.key): (r["last"], r.inner) for r in truncation.phrase_uses(truncation.endings(d.where("doc_id < 400"))).collect()}
+    assert uses["opening", "nobody knew "] == (1, 20)
     assert got >= {500 + i for i in range(12)}
 
 
+def test_truncation_rows_follow_hazards(spark, monkeypatch):
+    """Texts in words of their own show their cut by their length alone: without significant lengths they are not found."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(5, 9)))
+    text = lambda: " ".join(" ".join(word() for _ in range(rng.randint(5, 9))) + "." for _ in range(12))
+    rows = [(i, "feed", text()[:250]) for i in range(60)] + [(100 + i, "free", text()) for i in range(300)] + [(900 + i, "free", text() + "\nWritten by hand with care") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = {i for i, _, t in rows[:60] if not t.rstrip().endswith(".")}
+    got = {r.doc_id: r.cause for r in truncation.truncated(d).collect()}
+    assert {i for i, c in got.items() if c == "limit"} == want and set(got) <= set(range(60))
+    real = truncation.length_tests
+    monkeypatch.setattr(truncation, "length_tests", lambda ends: real(ends).withColumn("significant", F.lit(False)))
+    short = {i for i in want if len(rows[i][2].split(".")[-1].strip()) < 4}  # the beginning of a word alone
+    assert want & {r.doc_id for r in truncation.truncated(d).collect()} == short
+
+
 def test_length_hazards_against_brute_force(spark):
     """Expected counts follow the texts alive at each length; a limit on a steep slope shows."""
     rng, alive, sizes = random.Random(2), 20_000, Counter()

@@ -17,8 +17,16 @@ FDR = 0.01
 RATIO = 4.0
 #: A length needs so many different texts.
 LEAST = 3
-#: An opening of a last piece belongs to closings if at least this share of its uses stand last, without a full stop.
-CLOSING_SHARE, CLOSING_LEAST = 0.8, 4
+#: A last piece was cut if sentences that begin like it go on: at least this share of them by the lower Wilson bound at ``Z``.
+GOES_ON, Z = 0.5, 1.96
+#: A last piece is a closing if pieces that begin like it are unfinished last ones in at least this share, by the same bound.
+CLOSES = 0.8
+#: How many characters of a piece are its opening, longest first: of CJK text, of other text. A shorter last piece is looked up by what it has.
+OPENINGS = ((3, 2, 1), (12, 8, 4))
+#: The end of a piece: so many characters of CJK text, of other text.
+ENDS = (5, 12)
+#: Patterns of endings look at so many last characters; none of them can match more.
+TAIL = 200
 
 _CJK = "[\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7a3]"
 _CLOSERS = "[\"'”’」』）)\\]】]*"
@@ -30,60 +38,61 @@ _OPEN_NUMBER = f"(?<!\\d)0\\.$|{_CJK}\\d+[.．]$"
 _DOTS = "(?:…|\\.{3})[…. ]*$"
 #: What a transfer leaves: half a character, entity, tag, escape or address.
 _BROKEN = "\\ufffd$|&[A-Za-z#0-9]{0,7}$|<[a-z/][^<>]{0,20}$|\\\\u?[0-9a-f]{0,3}$|https?:\\S{0,60}$"
-#: Texts that end on purpose: tags, signatures, end marks, symbols, credits.
+#: Forms of endings on purpose: end marks, tags, a dash and a name, symbols, credits.
 _CLOSING = (
     "^(?:完|终|終|全文完|(?i)end|fin|over)$|^#\\S+(?:\\s+#\\S+)*$|^[—–]{1,2}\\s?\\S{1,24}(?: \\S{1,16})?$|^[(（\\[【<]\\s*(?:完|终|終|终わり|終わり|おわり|つづく|未完|全文完|end|fin|over|끝)\\s*[)）\\]】>]$"
-    "|[\\p{So}\\x{1F000}-\\x{1FAFF}♪♥❤️]$|<3+$|^[\\p{L}]{1,8} [^/]{1,20}(?: / [\\p{L}]{1,8} [^/]{1,20})+$|(?i)^filmed by .{1,30}, edited by .{1,30}$"
-    "|(?i)^(?:xoxo|love|cheers|yours),? \\S{1,24}$|^\\S{1,8} 写于\\S{1,8}$|(?i)^(?:bgm|music|ed|op|next(?: time| week| episode)?|下期预告|下集预告|预告|次回|次回予告|予告)\\s?[：:].{1,60}$"
-    "|(?i)^(?:thanks|thank you) for (?:watching|reading)\\S*$|(?i)^see you (?:next|soon|then|tomorrow)\\b.{0,16}$|^(?:我们)?(?:下期|下次|下周|明天)(?:再)?见$|^感谢(?:收看|观看|阅读).{0,4}$|ありがとうございました$"
+    "|[\\p{So}\\x{1F000}-\\x{1FAFF}♪♥❤️]$|<3+$|^[\\p{L}]{1,8} [^/]{1,20}(?: / [\\p{L}]{1,8} [^/]{1,20})+$"
 )
 
 
-def _mask(c: Column) -> Column:
-    return F.regexp_replace(c, "\\d+", "0")
+def _openings(piece: Column) -> Column:
+    """The openings of a piece, longest first; those it is too short for are left out."""
+    keys = lambda sizes: F.filter(F.array(*[F.when(F.length(piece) >= k, F.substring(piece, 1, k)) for k in sizes]), lambda x: x.isNotNull())
+    return F.when(piece.rlike(f"^{_CJK}"), keys(OPENINGS[0])).otherwise(keys(OPENINGS[1]))
 
 
-def _opening(piece: Column) -> Column:
-    return F.lower(F.substring(_mask(F.substring(piece, 1, 24)), 1, 3))
-
-
-def _context(piece: Column) -> Column:
-    """The end of a piece: five characters of CJK text, else twelve."""
-    p = _mask(F.substring(piece, -36, 36))
-    return F.lower(F.when(p.rlike(f"{_CJK}[）)」』”]?$"), F.substring(p, -5, 5)).otherwise(F.substring(p, -12, 12)))
+def _end(piece: Column) -> Column:
+    return F.when(piece.rlike(f"{_CJK}[）)」』”]?$"), F.substring(piece, -ENDS[0], ENDS[0])).otherwise(F.substring(piece, -ENDS[1], ENDS[1]))
 
 
 def endings(docs: DataFrame) -> DataFrame:
-    """One row per document with what its end looks like. ``state``: 'whole' (a finished sentence, an ending on purpose, or nothing but
-    space), 'broken' (the rest of a character, entity or address), 'dots' (dots after something that may be unfinished), 'open'."""
+    """One row per document with non-null text: its lengths, a hash of the text (``same``), what its end looks like, and the
+    openings and ends of its pieces (numbers are written as 0, letters small). ``state``: 'whole' (a finished sentence, a form of ending on
+    purpose, or nothing but space), 'broken' (the rest of a character, entity or address), 'dots' (dots after something that may be
+    unfinished), 'open'. The text is split once, whole; patterns of endings look at its last characters only."""
     t = F.regexp_replace(F.col("text"), "(?U)\\s+$", "")
     d = docs.where(F.col("text").isNotNull()).select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
                                                      F.xxhash64("text").alias("same"), t.alias("t"))
-    dots = F.col("t").rlike(_DOTS)
-    base = F.when(dots, F.regexp_replace("t", "[…. ]+$", "")).otherwise(F.col("t"))
-    d = d.select("*", dots.alias("dots"), base.alias("base")).select("*", F.trim(F.element_at(F.split("base", _BREAK), -1)).alias("last"))
-    ended = F.col("base").rlike(_ENDED)
+    tail = F.substring("t", -TAIL, TAIL)
+    d = d.select("*", tail.rlike(_DOTS).alias("dots"), tail.alias("tail"))
+    d = d.withColumn("base", F.when(F.col("dots"), F.regexp_replace("t", "[…. ]+$", "")).otherwise(F.col("t")))
+    low = F.lower(F.regexp_replace("base", "\\d+", "0"))
+    d = d.withColumn("pieces", F.transform(F.split(low, _BREAK), lambda x: F.trim(x)))
+    d = d.withColumn("last", F.element_at("pieces", -1))
+    end = F.substring("base", -TAIL, TAIL)
+    ended = end.rlike(_ENDED)
     state = (
         F.when(F.col("t") == "", "whole")
-        .when(F.col("t").rlike(_BROKEN), "broken")
+        .when(F.col("tail").rlike(_BROKEN), "broken")
         .when(F.col("dots"), F.when(ended | (F.col("base") == ""), "whole").otherwise("dots"))
-        .when(ended, F.when(F.col("t").rlike(_OPEN_NUMBER), "open").otherwise("whole"))
+        .when(ended, F.when(F.col("tail").rlike(_OPEN_NUMBER), "open").otherwise("whole"))
         .when(F.col("last").rlike(_CLOSING), "whole")
         .otherwise("open")
     )
-    return d.select("doc_id", "source", "chars", "bytes", "same", state.alias("state"), _opening(F.col("last")).alias("opening"), _context(F.col("last")).alias("context"))
+    inner = F.filter(F.slice("pieces", F.lit(1), F.size("pieces") - 1), lambda x: x != "")
+    return d.select(
+        "doc_id", "source", "chars", "bytes", "same", state.alias("state"), _openings(F.col("last")).alias("openings"), _end(F.col("last")).alias("end"),
+        F.flatten(F.transform(inner, _openings)).alias("inner_openings"), F.transform(inner, _end).alias("inner_ends"))
 
 
-def phrase_uses(docs: DataFrame) -> DataFrame:
-    """How sentences and lines begin and end over all texts: (``kind``, ``key``, ``last``: uses as the unfinished last piece, ``inner``: other uses).
-    Each text counts once, however often it was delivered."""
-    p = docs.where(F.col("text").isNotNull()).select("text").distinct().select(F.split(F.regexp_replace("text", "[…. ]+$", ""), _BREAK).alias("p"))
-    mark = lambda x, final: F.struct(F.trim(x).alias("piece"), F.lit(final).alias("final"))
-    inner = F.transform(F.slice("p", F.lit(1), F.size("p") - 1), lambda x: mark(x, False))
-    p = p.select(F.concat(inner, F.array(mark(F.element_at("p", -1), True))).alias("q")).select(F.inline_outer("q")).where(F.col("piece") != "")
-    both = F.array(F.struct(F.lit("opening").alias("kind"), _opening(F.col("piece")).alias("key")), F.struct(F.lit("context").alias("kind"), _context(F.col("piece")).alias("key")))
-    return p.select("final", F.explode_outer(both).alias("k")).groupBy("k.kind", "k.key").agg(
-        F.count_if("final").alias("last"), F.count_if(~F.col("final")).alias("inner"))
+def phrase_uses(ends: DataFrame) -> DataFrame:
+    """How sentences and lines begin and end over all texts: (``kind``, ``key``, ``last``: uses as the last piece where that is not finished, ``inner``: other
+    uses). Each text counts once, however often it was delivered."""
+    once = ends.select("same", "state", "openings", "end", "inner_openings", "inner_ends").dropDuplicates(["same"])
+    mark = lambda kind, final: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key"), F.lit(final).alias("final"))
+    unfinished = F.when(F.col("state").isin("open", "dots"), F.transform("openings", mark("opening", True))).otherwise(F.array().cast("array<struct<kind:string,key:string,final:boolean>>"))
+    uses = F.concat(unfinished, F.transform("inner_openings", mark("opening", False)), F.transform("inner_ends", mark("end", False)))
+    return once.select(F.inline(uses)).groupBy("kind", "key").agg(F.count_if("final").alias("last"), F.count_if(~F.col("final")).alias("inner"))
 
 
 def length_tests(ends: DataFrame) -> DataFrame:
@@ -116,48 +125,49 @@ def length_tests(ends: DataFrame) -> DataFrame:
     tests = h.withColumn("hazard", F.col("texts") / F.col("alive")).withColumn("expected", expected).withColumn("p", p).where(F.col("texts") >= LEAST)
     tests = materialise(tests, "length-tests")
     count = tests.count()
-    # only p below FDR can pass, so only those are ranked
-    ranked = tests.where(F.col("p") <= FDR).withColumn("rank", F.row_number().over(W.orderBy("p", "source", "unit", "len")))
-    top = ranked.where(F.col("p") <= F.col("rank") * F.lit(FDR / max(count, 1))).agg(F.max("p")).first()[0]
-    return tests.withColumn("significant", (F.col("p") <= F.lit(-1.0 if top is None else top)) & F.coalesce(F.col("texts") >= RATIO * F.col("expected"), F.lit(False)))
+    # Benjamini and Hochberg's threshold is the largest t = FDR x (tests with p <= t) / tests; counting downwards from FDR reaches it
+    found, last = tests.where(F.col("p") <= FDR).count(), -1
+    while found != last:
+        top, last = FDR * found / max(count, 1), found
+        found = tests.where(F.col("p") <= top).count()
+    return tests.withColumn("significant", (F.col("p") <= F.lit(top if found else -1.0)) & F.coalesce(F.col("texts") >= RATIO * F.col("expected"), F.lit(False)))
+
+
+def _wilson_low(hits: Column, n: Column) -> Column:
+    p, m = hits / n, n.cast("double")
+    return (p + Z * Z / (2 * m) - Z * F.sqrt(p * (1 - p) / m + Z * Z / (4 * m * m))) / (1 + Z * Z / m)
 
 
 def truncated(docs: DataFrame) -> DataFrame:
-    """(``doc_id``, ``source``, ``cause``) of the documents that were cut off: 'limit' if the length, in characters or bytes, is a
-    significant one of its source or of all sources, else 'transfer'.
-
-    Limits show as lengths at which far more texts end than at the lengths around them. At such a length a text that
-    ends inside a word or sentence was cut. Cuts in transfer fall on any length, which no hazard can show; there a text is
-    taken as cut if a broken character, entity or address is left, or if its last piece begins as sentences
-    elsewhere begin that do go on. Endings on purpose (closings, tags, credits, and away from limits openings that nearly
-    always stand last) are none; dots count as omission after a finished sentence if sentences elsewhere end like that.
-    Null, empty and blank texts are not cut. Ids that repeat are judged row by row, like texts in like way.
+    """(``doc_id``, ``source``, ``cause``) of the documents that were cut off: 'limit' or 'transfer'.
+
+    Limits: at a length, in characters or bytes, that is significant for the document's source or for all sources, a text whose end is not
+    finished was cut, unless its last piece is a closing that other texts end with too (``CLOSES``). Cuts in transfer fall on any length, which no
+    hazard can show, so away from significant lengths the text itself must tell: a broken character, entity or address; a last piece of fewer letters
+    than any opening has; or a last piece that begins as sentences do that go on (``GOES_ON``), which sign-offs do not, since they stand last
+    wherever they occur. Dots after a piece that ends as a sentence elsewhere are an omission. Shares and bounds do not depend on the size of the
+    collection, and each different text counts once. Null, empty and blank texts are not cut. Ids that repeat are judged row by row, like texts in like way.
     """
     ends = materialise(endings(docs.select("doc_id", "source", "text")), "endings")
-    uses = materialise(phrase_uses(docs.select("text")), "phrase-uses")
-    tests = length_tests(ends)
-    limits = tests.where("significant").select(F.col("source").alias("_s"), F.col("unit").alias("_u"), F.col("len").alias("_l")).distinct()
+    limits = length_tests(ends).where("significant").select(F.col("source").alias("_s"), F.col("unit").alias("_u"), F.col("len").alias("_l")).distinct()
+    cand = ends.where(F.col("state") != "whole").select("doc_id", "same", "source", "chars", "bytes", "state", F.get("openings", F.lit(0)).alias("opening"), "end")
     # at most a few lengths per source pass; each lookup below is an equi-join that Spark broadcasts only if it is small
-    cand = ends.where(F.col("state") != "whole")
     keys = F.array(*[F.struct(s.alias("s"), F.lit(u).alias("u"), F.col(u).cast("long").alias("l")) for u in ("chars", "bytes") for s in (F.coalesce("source", F.lit("")), F.lit("*"))])
-    at = cand.select("doc_id", "same", "source", F.explode(keys).alias("k")).join(limits, (F.col("k.s") == F.col("_s")) & (F.col("k.u") == F.col("_u")) & (F.col("k.l") == F.col("_l")))
+    at = cand.select("same", "source", F.explode(keys).alias("k")).join(limits, (F.col("k.s") == F.col("_s")) & (F.col("k.u") == F.col("_u")) & (F.col("k.l") == F.col("_l")))
     at = at.select(F.col("same").alias("_same"), F.coalesce("source", F.lit("")).alias("_src")).distinct().withColumn("limited", F.lit(True))
+    j = cand.join(at, (F.col("same") == F.col("_same")) & (F.coalesce("source", F.lit("")) == F.col("_src")), "left").withColumn("limited", F.coalesce("limited", F.lit(False)))
+    j = materialise(j.select("doc_id", "source", "state", "opening", "end", "limited"), "unfinished")
+    uses = materialise(phrase_uses(ends), "phrase-uses")
     seen = uses.where("kind = 'opening'").select(F.col("key").alias("_open"), F.col("last").alias("o_last"), F.col("inner").alias("o_inner"))
-    closed = uses.where("kind = 'context'").select(F.col("key").alias("_ctx"), F.col("inner").alias("c_inner"))
-    j = (
-        cand.join(at, (F.col("same") == F.col("_same")) & (F.coalesce("source", F.lit("")) == F.col("_src")), "left")
-        .join(seen, F.col("opening") == F.col("_open"), "left")
-        .join(closed, F.col("context") == F.col("_ctx"), "left")
-        .na.fill({"limited": False, "o_last": 0, "o_inner": 0, "c_inner": 0})
-    )
-    short = F.length("opening") < 3
-    closing = ~short & (F.col("o_last") >= CLOSING_LEAST) & (F.col("o_last") >= CLOSING_SHARE * (F.col("o_last") + F.col("o_inner")))
-    cut = (
-        F.when(F.col("state") == "broken", True)
-        .when(F.col("state") == "dots", F.col("c_inner") == 0)
-        .otherwise(F.col("limited") | ~closing & (short | (F.col("o_inner") > 0)))
-    )
-    return j.where(cut).select("doc_id", "source", F.when(F.col("limited"), "limit").otherwise("transfer").alias("cause"))
+    closed = uses.where("kind = 'end'").select(F.col("key").alias("_end"), F.col("inner").alias("e_inner"))
+    n = F.col("o_last") + F.col("o_inner")
+    share = lambda x: F.coalesce(_wilson_low(F.col(x), n), F.lit(0.0))
+    goes_on, closing, sentence = share("o_inner") >= GOES_ON, share("o_last") >= CLOSES, (F.col("state") == "dots") & F.col("e_inner").isNotNull()
+    at_limit = ~closing & ~sentence
+    away = (F.col("state") == "broken") | ~sentence & goes_on | (F.col("state") == "open") & F.col("opening").isNull()
+    cut = F.when(F.col("limited"), at_limit | (F.col("state") == "broken")).otherwise(away)
+    lost = j.join(seen, F.col("opening") == F.col("_open"), "left").join(closed, F.col("end") == F.col("_end"), "left").where(cut)
+    return lost.select("doc_id", "source", F.when(F.col("limited"), "limit").otherwise("transfer").alias("cause"))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
