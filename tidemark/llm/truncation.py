@@ -25,6 +25,8 @@ CLOSES = 0.8
 OPENINGS = ((3, 2, 1), (12, 8, 4))
 #: The end of a piece: so many characters of CJK text, of other text.
 ENDS = (5, 12)
+#: Characters from here on are those of CJK text.
+WIDE = "\u3000"
 #: Patterns of endings look at so many last characters; none of them can match more.
 TAIL = 200
 
@@ -48,11 +50,11 @@ _CLOSING = (
 def _openings(piece: Column) -> Column:
     """The openings of a piece, longest first; those it is too short for are left out."""
     keys = lambda sizes: F.filter(F.array(*[F.when(F.length(piece) >= k, F.substring(piece, 1, k)) for k in sizes]), lambda x: x.isNotNull())
-    return F.when(piece.rlike(f"^{_CJK}"), keys(OPENINGS[0])).otherwise(keys(OPENINGS[1]))
+    return F.when(F.substring(piece, 1, 1) >= WIDE, keys(OPENINGS[0])).otherwise(keys(OPENINGS[1]))
 
 
 def _end(piece: Column) -> Column:
-    return F.when(piece.rlike(f"{_CJK}[）)」』”]?$"), F.substring(piece, -ENDS[0], ENDS[0])).otherwise(F.substring(piece, -ENDS[1], ENDS[1]))
+    return F.when(F.substring(piece, -1, 1) >= WIDE, F.substring(piece, -ENDS[0], ENDS[0])).otherwise(F.substring(piece, -ENDS[1], ENDS[1]))
 
 
 def endings(docs: DataFrame) -> DataFrame:
@@ -110,10 +112,13 @@ def length_tests(ends: DataFrame) -> DataFrame:
     h = sizes.withColumn("alive", F.sum("texts").over(down))
     # texts that end near, and over the lengths near the texts alive there: a length that nobody reaches adds nothing, one at which nobody ends does
     over = lambda c, a, b: F.coalesce(F.sum(c).over(by.rangeBetween(a, b)), F.lit(0))
+    # from so far on, as the whole less what lies before: a frame without end would be summed anew for every length
+    whole = F.sum("texts").over(W.partitionBy("source", "unit"))
+    since = lambda a: whole - over("texts", W.unboundedPreceding, a - 1)
     ends_near = over("texts", -REACH, -GAP) + over("texts", GAP, REACH)
     low = F.greatest(F.col("len") - REACH, F.lit(0))
-    below = F.greatest(F.col("len") - GAP - low + 1, F.lit(0)) * over("texts", -GAP, W.unboundedFollowing) + over(F.col("texts") * F.col("len"), -REACH, -GAP - 1) - (low - 1) * over("texts", -REACH, -GAP - 1)
-    above = (REACH - GAP + 1) * over("texts", REACH, W.unboundedFollowing) + over(F.col("texts") * F.col("len"), GAP, REACH - 1) - (F.col("len") + GAP - 1) * over("texts", GAP, REACH - 1)
+    below = F.greatest(F.col("len") - GAP - low + 1, F.lit(0)) * since(-GAP) + over(F.col("texts") * F.col("len"), -REACH, -GAP - 1) - (low - 1) * over("texts", -REACH, -GAP - 1)
+    above = (REACH - GAP + 1) * since(REACH) + over(F.col("texts") * F.col("len"), GAP, REACH - 1) - (F.col("len") + GAP - 1) * over("texts", GAP, REACH - 1)
     h = h.withColumn("near", ends_near).withColumn("alive_near", F.when(F.col("len") >= GAP, below).otherwise(0) + above)
     n, m = F.col("texts").cast("double"), F.col("near").cast("double")
     # of the texts that end here or near, the share that equal hazards would end here
