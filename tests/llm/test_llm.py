@@ -295,7 +295,49 @@ def test_bit_parallel_distance():
         p = "".join(rng.choice("abc") for _ in range(rng.randint(1, 90)))
         t = "".join(rng.choice("abc") for _ in range(rng.randint(0, 120)))
         d = distance(p, t)
-        assert leaks.edit_distance_within(p, t, d) == d and leaks.edit_distance_within(p, t, d - 1) is None
+        assert leaks.best_match(p, t, d)[0] == d and leaks.best_match(p, t, d - 1) is None
+        assert leaks.best_match([*p], [*t], d) == leaks.best_match(p, t, d)
+
+
+def test_leak_search_misses_nothing_within_its_budget():
+    """Changed, missing and additional words at every rate: the same items as by the distance to every window of every item."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 60)))) for i in range(30)]
+    search = leaks.Searcher(items)
+    found = 0
+    for n in range(600):
+        i, body = rng.choice(items)
+        w = body.split()
+        lo = rng.randint(0, len(w) // 2)
+        w = w[lo : lo + rng.randint(len(w) // 2, len(w))]
+        every = rng.choice([2, 3, 4, 5, 6, 8, 11, 15, 99])
+        for k in range(every - 1, len(w), every):
+            w[k] = rng.choice([word(), "", f"{w[k]} {word()}", w[k][::-1]])
+        doc = " ".join([*(word() for _ in range(rng.randint(0, 30))), *w, *(word() for _ in range(rng.randint(0, 30)))])
+        text = leaks.words(doc)
+        want = sorted(k for k, it in search.items.items() if any(distance(it.words[a:b], text) <= most for a, b, most in it.windows)) if n < 60 else None
+        got = sorted(search.find(doc))
+        if want is None:
+            it = search.items[i]
+            want = [i] if any(distance(it.words[a:b], text) <= most for a, b, most in it.windows) else []
+            assert not want or i in got
+        else:
+            assert got == want
+        found += bool(want)
+    assert 100 < found < 590
+
+
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    """An instruction that few items share is left aside whichever block they come into."""
+    ask = "Read the following passage with all due care and answer"
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    items = spark.createDataFrame([(k, f"{ask}: {body(k)}") for k in range(5)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ask + " nothing"), (2, body(3)), (3, body(1)[:25]), (4, body(0).upper())], "doc_id long, text string")
+    run = lambda: sorted(map(tuple, leaks.leaked(docs, "doc_id", "text", items, "item_id", "text").collect()))
+    whole = run()
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 2)
+    assert run() == whole == [(0, 4), (3, 2)]
 
 
 def test_leaks(spark):
