@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.llm.copies import usable_comments
-from tidemark.session import table
+from tidemark.session import materialise, table
 
 GAP_MS = 60_000
-#: An entity's events are cut into chunks of so many milliseconds.
-CHUNK_MS = 600_000
+#: No predecessor.
+NONE = np.iinfo(np.int64).min
 MIN_EDIT = 8
+SCHEMA = "part int, run_no bigint, id bigint, prev_id bigint, ent_a string, ent_b string, ms bigint, edge int, n string, raw string"
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 _REPEAT = re.compile(r"(\D{1,4}?)\1+")
 _DIGITS = re.compile(r"(\d)\1{2,}")
@@ -59,29 +62,35 @@ def nearly_equal(na: str, nb: str, raw_a: str | None, raw_b: str | None) -> bool
     return len(a) >= MIN_EDIT and len(b) >= MIN_EDIT and _DIGIT.findall(a) == _DIGIT.findall(b) and one_edit(a, b)
 
 
-def _run_batches(same: Callable[[str, str, str | None, str | None], bool], gap_ms: int, wide: bool):
-    """Over a partition sorted by entity chunk and time: mark run starts, look every event up in the sorted array of
-    their positions, and give each event its run and its predecessor in it. One row is carried between batches."""
+def _run_batches(same: Callable[[str, str, str | None, str | None], bool], gap_ms: int):
+    """Over a slice of events sorted by entity and time: gather the run starts as a sorted array of positions, look every event up in it,
+    and number it by its run; its predecessor is the event before it in the same run. The last event of a batch is held back and
+    goes in front of the next. The first and the last event of the slice keep their texts, for the links across slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None
-        carried = None  # first event, number and context flag of the run that the carried row belongs to
-        runs = 0
+        part, held, base, before, first = TaskContext.get().partitionId(), None, 0, NONE, True
+
+        def emit(t: pa.Table, number: np.ndarray, prev: np.ndarray, final: bool) -> pa.RecordBatch:
+            m = len(number)
+            edge = np.zeros(m, dtype=np.int32)
+            edge[0] |= int(first)
+            edge[m - 1] |= 2 * int(final)
+            text = lambda c: pc.if_else(pa.array(edge > 0), t[c].combine_chunks(), pa.scalar(None, pa.string()))
+            cols = [pa.array(np.full(m, part, dtype=np.int32)), pa.array(number.astype(np.int64)), t["id"], pa.array(prev, mask=prev == NONE), t["ent_a"], t["ent_b"], t["ms"], pa.array(edge), text("n"), text("raw")]
+            return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], COLUMNS)
+
         for b in batches:
-            t = pa.Table.from_batches([b])
-            if not t.num_rows:
+            if not b.num_rows:
                 continue
-            if carry is not None:
-                t = pa.concat_tables([carry, t])
-            t = t.combine_chunks()
+            t = pa.Table.from_batches([b])
+            t = (pa.concat_tables([held, t]) if held is not None else t).combine_chunks()
             col = {c: t[c].chunk(0) for c in t.column_names}
             ids, ms = col["id"].to_numpy(), col["ms"].to_numpy()
-            halo = col["halo"].to_numpy(zero_copy_only=False)
             m = len(ids)
             new = np.ones(m, dtype=bool)
             if m > 1:
                 close = np.diff(ms) <= gap_ms
-                for c in ("ent_a", "ent_b", "chunk"):
+                for c in ("ent_a", "ent_b"):
                     close &= pc.equal(col[c].slice(1), col[c].slice(0, m - 1)).to_numpy(zero_copy_only=False)
                 at = np.flatnonzero(close)
                 if len(at):
@@ -90,50 +99,45 @@ def _run_batches(same: Callable[[str, str, str | None, str | None], bool], gap_m
                     new[at[np.array(hits, dtype=bool)] + 1] = False
             starts = np.flatnonzero(new)  # the boundary positions, sorted
             nth = np.searchsorted(starts, np.arange(m), side="right") - 1
-            first, number, context = ids[starts[nth]], runs + nth, halo[starts[nth]]
-            if carried is not None:
-                mine = nth == 0
-                first[mine], context[mine] = carried[0], carried[2]
-                number += carried[1] - runs
-            runs = int(number[-1]) + 1
-            prev = np.where(new, -1, np.concatenate([[-1], ids[:-1]]))
-            own = ~halo
-            if carry is not None:
-                own[0] = False
-            keep = pa.array(np.flatnonzero(own))
-            out = [col["id"], pa.array(first), pa.array(prev, mask=prev < 0)]
-            names = ["id", "first_id", "prev_id"]
-            if wide:
-                out += [col["ent_a"], col["ent_b"], col["chunk"], col["ms"], pa.array(number.astype(np.int64)), pa.array(context)]
-                names += ["ent_a", "ent_b", "chunk", "ms", "run_no", "context"]
-            yield pa.RecordBatch.from_arrays([x.take(keep) for x in out], names)
-            carry, carried = t.slice(m - 1, 1), (first[-1], int(number[-1]), bool(context[-1]))
+            prev = np.concatenate([[before], np.where(nth[1:] == nth[:-1], ids[:-1], NONE)])
+            if m > 1:
+                yield emit(t.slice(0, m - 1), base + nth[:-1], prev[:-1], False)
+                first = False
+            held, base, before = t.slice(m - 1, 1), base + int(nth[-1]), int(prev[-1])
+        if held is not None:
+            yield emit(held, np.array([base]), np.array([before]), True)
 
     return run
 
 
-def entity_chunks(events: DataFrame) -> DataFrame:
-    """Events (``id``, ``ent_a``, ``ent_b``, ``ms``, ``seq``, ``n``, ``raw``) cut into chunks of ten minutes per entity; the events of a chunk's last
-    minute are also given to the next chunk as context (``halo``), so that no link across a border is lost. A hot
-    entity is spread over its chunks."""
-    chunk = F.floor(F.col("ms") / CHUNK_MS)
-    ahead = F.floor((F.col("ms") + GAP_MS) / CHUNK_MS)
-    at = F.when(ahead > chunk, F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("halo")), F.struct(ahead.alias("chunk"), F.lit(True).alias("halo")))).otherwise(
-        F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("halo"))))
-    d = events.select("*", F.explode(at).alias("c")).select("id", "ent_a", "ent_b", "ms", "seq", "n", "raw", F.col("c.chunk").alias("chunk"), F.col("c.halo").alias("halo"))
-    return d.repartition("ent_a", "ent_b", "chunk").sortWithinPartitions("ent_a", "ent_b", "chunk", "ms", F.col("seq").asc_nulls_first(), "id")
+@dataclass
+class Runs:
+    """``members``: (``part``, ``run_no``, ``id``, ``prev_id``, ``ent_a``, ``ent_b``, ``ms``) of every event; ``links``: pairs of ids, and ``joined``: runs continued, across slices."""
+
+    members: DataFrame
+    links: list[tuple[int, int]]
+    joined: dict[tuple[int, int], tuple[int, int]]
+
 
+def run_members(events: DataFrame, same=nearly_equal, gap_ms: int = GAP_MS) -> Runs:
+    """The runs of events (``id``, ``ent_a``, ``ent_b``, ``ms``, ``seq``, ``n``, ``raw``): two directly consecutive events of an entity belong to one if ``same``
+    holds and they are at most ``gap_ms`` apart.
 
-def run_members(events: DataFrame, same=nearly_equal, gap_ms: int = GAP_MS, wide: bool = False) -> DataFrame:
-    """(``id``, ``first_id``: first event of its run within its chunk, ``prev_id``: event before it in the run, null at a
-    start). Two directly consecutive events belong to one run if ``same`` holds and they are at most ``gap_ms`` apart.
-    ``wide`` adds the entity, chunk, time, the run's number in its chunk, and whether it began in the chunk's context."""
-    if gap_ms > GAP_MS:
-        raise ValueError("the context given to a chunk covers one minute")
-    schema = "id bigint, first_id bigint, prev_id bigint"
-    if wide:
-        schema += ", ent_a string, ent_b string, chunk bigint, ms bigint, run_no bigint, context boolean"
-    return entity_chunks(events).mapInArrow(_run_batches(same, gap_ms, wide), schema)
+    Events are cut into slices of equal size by entity, time, ``seq`` (null first) and id, so an entity that holds a third of all events, even within one
+    minute, is spread over a third of the slices. Only the two events at the ends of each slice come to the driver, where neighbouring
+    slices are linked."""
+    order = ["ent_a", "ent_b", "ms", F.col("seq").asc_nulls_first(), "id"]
+    # written first: the slices' bounds come from a pass of their own over the events
+    e = materialise(events.select("id", "ent_a", "ent_b", "ms", "seq", "n", "raw"), "run-events")
+    m = e.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_run_batches(same, gap_ms), SCHEMA)
+    m = materialise(m, "run-members")
+    edges = sorted(m.where(F.col("edge") > 0).collect(), key=lambda r: (r.part, r.run_no, r.edge))
+    links, joined = [], {}
+    for x, y in zip(edges, edges[1:], strict=False):
+        if x.part != y.part and (x.ent_a, x.ent_b) == (y.ent_a, y.ent_b) and y.ms - x.ms <= gap_ms and same(x.n, y.n, x.raw, y.raw):
+            links.append((x.id, y.id))
+            joined[y.part, y.run_no] = joined.get((x.part, x.run_no), (x.part, x.run_no))
+    return Runs(m.drop("edge", "n", "raw"), links, joined)
 
 
 def viewer_events(comments: DataFrame) -> DataFrame:
@@ -147,27 +151,29 @@ def viewer_events(comments: DataFrame) -> DataFrame:
 
 
 def collapse_runs(events: DataFrame, same=nearly_equal) -> DataFrame:
-    """One row per run: (``ent_a``, ``ent_b``, ``first_id``, ``events``, ``start_ms``, ``duration_ms``).
-
-    Runs are cut at chunk borders first. A piece that began in its chunk's context continues the last piece of the chunk
-    before; such chains are put together by a window over the pieces at borders, at most two per chunk of an entity.
-    """
-    ent = ["ent_a", "ent_b"]
-    m = run_members(events, same, wide=True)
-    pieces = m.groupBy(*ent, "chunk", "run_no").agg(
-        F.min("first_id").alias("first_id"), F.min("ms").alias("t0"), F.max("ms").alias("t1"), F.count("*").alias("k"), F.max("context").alias("goes_on"))
-    pieces = pieces.withColumn("last", F.max("run_no").over(W.partitionBy(*ent, "chunk")) == F.col("run_no"))
-    border = F.col("goes_on") | F.col("last")
-    chain = F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(W.partitionBy(*ent).orderBy("chunk", "run_no"))
-    joined = pieces.where(border).withColumn("chain", chain).groupBy(*ent, "chain").agg(
-        F.min_by("first_id", F.struct("chunk", "run_no")).alias("first_id"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("k").alias("k"))
-    cols = [*ent, "first_id", F.col("k").alias("events"), F.col("t0").alias("start_ms"), (F.col("t1") - F.col("t0")).alias("duration_ms")]
-    return pieces.where(~border).select(*cols).unionByName(joined.select(*cols))
+    """One row per run: (``ent_a``, ``ent_b``, ``first_id``, ``events``, ``start_ms``, ``duration_ms``). Runs are aggregated within their slices; those that go on in the
+    next slice, at most one per slice, are put together."""
+    r = run_members(events, same)
+    spark = events.sparkSession
+    joined = spark.createDataFrame([(*a, *b) for a, b in r.joined.items()], "part int, run_no bigint, _p int, _r bigint")
+    pieces = r.members.groupBy("ent_a", "ent_b", "part", "run_no").agg(
+        F.max(F.when(F.col("prev_id").isNull(), F.col("id"))).alias("first_id"), F.min("ms").alias("t0"), F.max("ms").alias("t1"), F.count("*").alias("k"))
+    pieces = pieces.join(joined, ["part", "run_no"], "left").withColumn("first_id", F.when(F.col("_p").isNull(), F.col("first_id")))
+    whole = pieces.groupBy("ent_a", "ent_b", F.coalesce("_p", "part").alias("part"), F.coalesce("_r", "run_no").alias("run_no")).agg(
+        F.max("first_id").alias("first_id"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("k").alias("k"))
+    return whole.select("ent_a", "ent_b", "first_id", F.col("k").alias("events"), F.col("t0").alias("start_ms"), (F.col("t1") - F.col("t0")).alias("duration_ms"))
+
+
+def run_pairs(events: DataFrame, same=nearly_equal) -> DataFrame:
+    """(``id_a``, ``id_b``; smaller first) of every two consecutive members of a run."""
+    r = run_members(events, same)
+    across = events.sparkSession.createDataFrame(r.links, "prev_id bigint, id bigint")
+    pairs = r.members.where(F.col("prev_id").isNotNull()).select("prev_id", "id").unionByName(across)
+    return pairs.select(F.least("id", "prev_id").alias("id_a"), F.greatest("id", "prev_id").alias("id_b"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    m = run_members(viewer_events(table(spark, sf, "comments"))).where(F.col("prev_id").isNotNull())
-    return m.select(F.least("id", "prev_id").alias("dm_id_a"), F.greatest("id", "prev_id").alias("dm_id_b"))
+    return run_pairs(viewer_events(table(spark, sf, "comments"))).select(F.col("id_a").alias("dm_id_a"), F.col("id_b").alias("dm_id_b"))
 
 
 def p6_runs(spark: SparkSession, sf: str) -> DataFrame:
