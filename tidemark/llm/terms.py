@@ -153,16 +153,21 @@ def _filled(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     return c, c.where(F.col("content").isNotNull()).count()
 
 
+#: N-grams of up to so many terms.
+SIGMA = 3
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The single terms of the n-gram run."""
     c, total = _filled(spark, sf)
-    m = marked(suffix_counts(c, "content"), total).where(F.col("mark") != "")
+    m = marked(suffix_counts(c, "content", SIGMA).where(F.col("n") == 1), total).where(F.col("mark") != "")
     return m.select("term", F.explode(F.split("mark", " ")).alias("mark"))
 
 
 def p2_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     """Every n-gram of up to three terms."""
     c, total = _filled(spark, sf)
-    return marked(suffix_counts(c, "content", 3), total)
+    return marked(suffix_counts(c, "content", SIGMA), total)
 
 
 def p2_values(spark: SparkSession, sf: str) -> DataFrame:
