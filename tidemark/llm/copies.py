@@ -18,6 +18,8 @@ _IGNORED_JAVA = r"(?U)[\s\p{P}\p{Cf}~～]+"
 _IGNORED = regex.compile(r"[\s\p{P}\p{Cf}~～]+")
 #: At most this many groups can each hold a 256th of all rows.
 HEAVY = 256
+#: The fields that make a record, and those of them that count as written; all others play no part.
+FIELDS, EXACT = ("bvid", "time_sec", "uid_hash", "content"), frozenset({"bvid"})
 
 
 def plain(c: Column) -> Column:
@@ -48,22 +50,26 @@ def _leaf(v) -> bytes:
     return hashlib.blake2b(tag, digest_size=8).digest()
 
 
-def merkle_json(v) -> bytes:
-    """Digest of any nested JSON value: normalised leaves, objects unordered, arrays in order."""
+def merkle_json(v, exact: frozenset[str] = frozenset()) -> bytes:
+    """Digest of any nested JSON value: normalised leaves, objects unordered, arrays in order. Texts in fields named in ``exact`` count as written."""
     if isinstance(v, dict):
-        kids = sorted(hashlib.blake2b(k.encode("utf-8", "surrogatepass") + b"\0" + merkle_json(x), digest_size=8).digest() for k, x in v.items())
+        kids = sorted(hashlib.blake2b(k.encode("utf-8", "surrogatepass") + b"\0" + (_exact(x) if k in exact and isinstance(x, str) else merkle_json(x, exact)), digest_size=8).digest() for k, x in v.items())
         return hashlib.blake2b(b"{" + b"".join(kids), digest_size=8).digest()
     if isinstance(v, list):
-        return hashlib.blake2b(b"[" + b"".join(map(merkle_json, v)), digest_size=8).digest()
+        return hashlib.blake2b(b"[" + b"".join(merkle_json(x, exact) for x in v), digest_size=8).digest()
     return _leaf(v)
 
 
-def canonical_json(v):
+def _exact(s: str) -> bytes:
+    return hashlib.blake2b(b"x" + s.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def canonical_json(v, exact: frozenset[str] = frozenset()):
     """The normalised value itself, for the full comparison."""
     if isinstance(v, dict):
-        return {k: canonical_json(x) for k, x in v.items()}
+        return {k: x if k in exact and isinstance(x, str) else canonical_json(x, exact) for k, x in v.items()}
     if isinstance(v, list):
-        return [canonical_json(x) for x in v]
+        return [canonical_json(x, exact) for x in v]
     if isinstance(v, str):
         return plain_text(v)
     return float(v) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) and abs(v) < 2**53 else v
@@ -90,15 +96,17 @@ def _payload_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 continue
             if not isinstance(v.get("uid_hash"), str) or not isinstance(v.get("bvid"), str):
                 continue
-            digests.append(int.from_bytes(merkle_json(v), "big", signed=True))
-            forms.append(json.dumps(canonical_json(v), sort_keys=True, ensure_ascii=True))
+            v = {k: v[k] for k in FIELDS}
+            digests.append(int.from_bytes(merkle_json(v, EXACT), "big", signed=True))
+            forms.append(json.dumps(canonical_json(v, EXACT), sort_keys=True, ensure_ascii=True))
             ids.append(i)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(forms, pa.string())], ["id", "digest", "form"])
 
 
 def payload_records(raw: DataFrame) -> DataFrame:
     """(``id``, ``digest``, ``form``) of the payloads that are valid JSON objects of real users with non-blank content, a
-    numeric time, a viewer and a video; the others take no part. Fields may come in any order, nested or not."""
+    numeric time, a viewer and a video; the others take no part. Fields may come in any order; fields besides ``FIELDS`` play no part,
+    and ``bvid`` counts as written."""
     return raw.select("raw_id", "payload").mapInArrow(_payload_batches, "id bigint, digest bigint, form string")
 
 
@@ -132,7 +140,7 @@ def copy_links(records: DataFrame) -> DataFrame:
     """
     groups = materialise(collapse(records).where(F.col("copies") > 1), "copy-groups")
     total = groups.agg(F.sum("copies")).first()[0] or 0
-    heavy = groups.where(F.col("copies") * HEAVY >= F.lit(total)) if total >= HEAVY * 10_000 else groups.limit(0)
+    heavy = groups.where(F.col("copies") * HEAVY >= F.lit(total))
     digests = [r[0] for r in heavy.select("digest").distinct().collect()]
     pick = lambda d, g: d.alias("r").join(g.alias("g"), (F.col("r.digest") == F.col("g.digest")) & (F.col("r.form") == F.col("g.form"))).where(
         F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"))
