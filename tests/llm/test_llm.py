@@ -58,6 +58,16 @@ def test_lookalike_forms(spark):
     assert lookalikes.representatives(t.limit(0), "content")["Ａ"] == "A"
 
 
+def test_lookalike_strings_are_counted_everywhere(spark):
+    """A string that many plain texts hold stands for its class, not the one ligature."""
+    t = spark.createDataFrame([("final fit fine",)] * 1000 + [("ﬁn",)], "content string")
+    reps = lookalikes.representatives(t, "content")
+    assert reps["ﬁ"] == "fi" and "fi" not in reps
+    rewrite = lookalikes.Rewriter(reps)
+    assert rewrite("ﬁn") == rewrite("fin") == "fin"
+    assert rewrite("ﬁ" * 50 + "á̂" * 50) == rewrite(rewrite("ﬁ" * 50 + "á̂" * 50))
+
+
 def test_lookalike_classes_are_disjoint_and_transitive():
     seen = Counter(m for c in lookalikes.look_classes() for m in c)
     assert max(seen.values()) == 1
@@ -205,15 +215,28 @@ def test_runs_against_brute_force(spark):
     rows = [(i, rng.choice(["u", "U ", "w", None]), rng.choice(["哈哈", "哈哈哈", "!!", "！", "ok", "OK!", None, " "]), rng.choice([None, rng.randint(0, 4000) / 2])) for i in range(1500)]
     rows += [(5000 + i, "hot", "same text", 590.0 + i * 7) for i in range(300)] + [(9000, "hot", LONG, 1.0), (9001, "hot", LONG, 2.0)]
     c = comments(spark, rows)
-    m = runs.run_members(runs.viewer_events(c)).where(F.col("prev_id").isNotNull()).collect()
     want = brute_runs(rows)
-    assert {(min(r.id, r.prev_id), max(r.id, r.prev_id)) for r in m} == want
     events = runs.viewer_events(c)
+    assert {tuple(r) for r in runs.run_pairs(events).collect()} == want
     r = runs.collapse_runs(events).collect()
-    assert sum(x.events for x in r) == events.count() and len(r) == events.count() - len(want)
+    assert sum(x.events for x in r) == events.count() and len(r) == events.count() - len(want) and all(x.first_id is not None for x in r)
     hot = [x for x in r if x.first_id == 5000]
     assert (hot[0].events, hot[0].duration_ms) == (300, 299 * 7000)
-    assert runs.collapse_runs(runs.viewer_events(c.limit(0))).count() == 0
+    assert runs.collapse_runs(runs.viewer_events(c.limit(0))).count() == 0 and runs.run_pairs(runs.viewer_events(c.limit(0))).count() == 0
+
+
+def test_runs_of_a_hot_viewer_are_spread(spark):
+    """One viewer's events within one minute fill several slices, and a run goes on across all of them."""
+    c = comments(spark, [(i, "bot", f"go{'!' * (i % 3)}" if i < 2500 else "stop it", 5 + i / 100) for i in range(4000)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        r = runs.run_members(runs.viewer_events(c))
+        assert max(x["count"] for x in r.members.groupBy("part").count().collect()) < 2000 and len(r.links) == 3
+        got = sorted((x.first_id, x.events) for x in runs.collapse_runs(runs.viewer_events(c)).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [(0, 2500), (2500, 1500)]
+    assert runs.run_pairs(runs.viewer_events(c)).count() == 3998
 
 
 # --- 7: copies ----------------------------------------------------------------------------------------------------
@@ -243,6 +266,14 @@ def test_nested_json_copies(spark):
     assert {tuple(r) for r in copies.copy_links(copies.payload_records(d)).collect()} == {(1, 2)}
 
 
+def test_payload_copies_by_field(spark):
+    """Videos whose ids differ in case are different; fields that do not make a record hide no copy."""
+    v = {"bvid": "BV1aBcD", "time_sec": 1, "uid_hash": "U-1", "content": "a b", "identity_type": "real_user"}
+    rows = [(1, v), (2, v | {"bvid": "BV1AbCd"}), (3, v | {"note": None}), (4, v | {"time_sec": 1.0, "uid_hash": "u1", "content": "AB!"}), (5, v | {"bvid": "BV1aBcD "})]
+    d = spark.createDataFrame([(i, json.dumps(x)) for i, x in rows], "raw_id long, payload string")
+    assert {tuple(r) for r in copies.copy_links(copies.payload_records(d)).collect()} == {(1, 3), (1, 4)}
+
+
 # --- 8: packing ---------------------------------------------------------------------------------------------------
 
 

@@ -113,17 +113,13 @@ def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if len(m) > 1:
             long.add_word(m, m)
     long.make_automaton()
-    # a member of several code points ends in one that decides whether a text can hold any
-    hint = re.compile(_char_class({m[-1] for m in members if len(m) > 1 and m[-1] > "˿"}))
     counts: Counter = Counter()
     for b in batches:
-        texts = [t for t in b.column(0).to_pylist() if t]
-        for c, k in Counter("".join(texts)).items():
+        joined = "\n".join(t for t in b.column(0).to_pylist() if t)  # no member holds a line break
+        for c, k in Counter(joined).items():
             if c in members:
                 counts[c] += k
-        for t in texts:
-            if hint.search(t):
-                counts.update(m for _, m in long.iter_long(t))
+        counts.update(m for _, m in long.iter_long(joined))
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["member", "k"])
 
 
@@ -145,7 +141,8 @@ def representatives(texts: DataFrame, column: str) -> dict[str, str]:
 
 
 class Rewriter:
-    """Greedy leftmost-longest rewriting by an automaton over all members, until nothing changes."""
+    """Greedy leftmost-longest rewriting by an automaton over all members, until nothing changes. It ends: representatives stand for themselves, so no
+    round makes a text longer than its decomposition, and a form that comes again ends the search."""
 
     def __init__(self, table_: dict[str, str]):
         self.auto = ahocorasick.Automaton()
@@ -159,7 +156,8 @@ class Rewriter:
     def __call__(self, s: str) -> str:
         if not self.hint.search(s):
             return s
-        for _ in range(8):
+        seen: list[str] = []
+        while True:
             if self.marks.search(s):
                 s = ud.normalize("NFD", s)
             out, at = [], 0
@@ -169,11 +167,10 @@ class Rewriter:
             if not out:
                 return s
             out.append(s[at:])
-            t = "".join(out)
-            if t == s:
-                return s
-            s = t
-        return s
+            s = "".join(out)
+            if s in seen:  # it turns to itself, or round and round: then the least form stands for all
+                return min(seen[seen.index(s) :])
+            seen.append(s)
 
 
 def unify(df: DataFrame, column: str, table_: dict[str, str], keep: list[str]) -> DataFrame:
