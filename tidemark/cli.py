@@ -7,7 +7,8 @@ import argparse
 from tidemark.session import build_session
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, known: dict | None = None) -> int:
+    """``known``: the queries by name; those of the core if not given."""
     p = argparse.ArgumentParser(prog="tidemark")
     sub = p.add_subparsers(dest="verb", required=True)
     sub.add_parser("list")
@@ -20,13 +21,10 @@ def main(argv: list[str] | None = None) -> int:
     d = sub.add_parser("diff")
     d.add_argument("data")
     a = p.parse_args(argv)
-    from tidemark.plans.catalogue import queries
+    if known is None:
+        from tidemark.plans.catalogue import queries
 
-    try:
-        from tidemark.llm.catalogue import queries as more
-    except ImportError:
-        more = dict
-    known = queries() | more()
+        known = queries()
     if a.verb == "list":
         print("\n".join(sorted(known)))
         return 0

@@ -11,17 +11,28 @@ from pyspark.sql import functions as F
 from tidemark.settings import DEFAULT, Settings
 
 BUCKET_S = 60.0
+#: Input numbers of rows of one time that are ranked in one task.
+SEQ_BLOCK = 4096
+#: Seconds made from one row at once.
+SPAN_S = 1 << 16
 
 
 def timeline_rank(comments: DataFrame) -> DataFrame:
-    """Adds ``idx``, the 0-based place of a row in its video by (time_sec, anonymous last, seq, dm_id). Ranks are taken within minutes
-    and shifted by the counts of the minutes before, so a video with very many rows is spread over its minutes."""
-    b = F.floor(F.col("time_sec") / BUCKET_S)
-    c = comments.withColumn("_b", b)
-    before = W.partitionBy("bvid").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sizes = c.groupBy("bvid", "_b").agg(F.count("*").alias("_n")).select("bvid", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy("bvid", "_b").orderBy("time_sec", F.col("identity_type") == "unknown_device", "seq", "dm_id")
-    return c.withColumn("_r", F.row_number().over(within)).join(sizes, ["bvid", "_b"]).withColumn("idx", F.col("_before") + F.col("_r") - 1).drop("_b", "_r", "_before")
+    """Adds ``idx``, the 0-based place of a row in its video by (time_sec, anonymous last, seq, dm_id).
+
+    Rows are ranked within cells of one time, one kind of identity and ``SEQ_BLOCK`` input numbers, and shifted by the counts of the cells before in
+    their minute and of the minutes before in their video. So neither a video with very many rows nor a minute of them (as rows without a
+    time make one, at 0) meets in one task; what a window sees of them is counts."""
+    block = F.coalesce(F.floor(F.col("seq") / SEQ_BLOCK), F.lit(-1))
+    c = comments.withColumns({"_b": F.floor(F.col("time_sec") / BUCKET_S), "_anon": F.col("identity_type") == "unknown_device", "_block": block})
+    cell = ["bvid", "_b", "time_sec", "_anon", "_block"]
+    cells = c.groupBy(*cell).agg(F.count("*").alias("_n"))
+    sums = lambda by, *order: F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    minutes = cells.groupBy("bvid", "_b").agg(F.sum("_n").alias("_n")).select("bvid", "_b", sums(["bvid"], "_b").alias("_minute"))
+    before = cells.withColumn("_cell", sums(["bvid", "_b"], "time_sec", "_anon", "_block")).join(minutes, ["bvid", "_b"]).select(*cell, (F.col("_minute") + F.col("_cell")).alias("_before"))
+    within = W.partitionBy(*cell).orderBy("seq", "dm_id")
+    ranked = c.withColumn("_r", F.row_number().over(within)).join(before, cell)
+    return ranked.withColumn("idx", F.col("_before") + F.col("_r") - 1).drop("_b", "_anon", "_block", "_r", "_before")
 
 
 def fixed_segments(comments: DataFrame, step: int = DEFAULT.fixed_step) -> DataFrame:
@@ -56,7 +67,10 @@ def _bins(comments: DataFrame) -> DataFrame:
 def density_signal(comments: DataFrame) -> DataFrame:
     """(bvid, bin, n): rows per second from the first row on, empty seconds included."""
     b = _bins(comments)
-    every = b.groupBy("bvid").agg(F.max("bin").alias("m")).select("bvid", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("bin"))
+    # in two steps, so that no array grows with a late time
+    spans = b.groupBy("bvid").agg(F.max("bin").alias("m")).select("bvid", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") / SPAN_S))).alias("s"))
+    first = F.col("s") * SPAN_S
+    every = spans.select("bvid", F.explode(F.sequence(first, F.least(first + SPAN_S - 1, F.col("m")))).alias("bin"))
     return every.join(b.select("bvid", "bin", "n"), ["bvid", "bin"], "left").select("bvid", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -64,14 +78,19 @@ def change_points(signal: np.ndarray, penalty: float = 1.0) -> list[int]:
     """Starts of new segments: the exact optimum of squared error plus a penalty per change, by pruned dynamic programming.
     Inside a run of equal values the error is a concave function of where a change lies, so changes are only sought at the
     ends of runs, of which a sparse signal has few. Signals of fewer than three values have none; of equal optima the earliest last start is taken."""
-    n = len(signal)
-    if n < 3:
-        return []
     x = np.asarray(signal, dtype=float)
-    ends = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1, [n]])
-    s1 = np.concatenate([[0.0], np.cumsum(x)])[ends]
-    s2 = np.concatenate([[0.0], np.cumsum(x**2)])[ends]
-    m = len(ends) - 1
+    at = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1]) if len(x) else np.zeros(0, dtype=np.int64)
+    return change_points_of_runs(x[at], np.diff(np.append(at, len(x))), penalty)
+
+
+def change_points_of_runs(value: np.ndarray, length: np.ndarray, penalty: float = 1.0) -> list[int]:
+    """``change_points`` of a signal given as runs of equal values, neighbouring runs unequal; its length costs nothing."""
+    if length.sum() < 3:
+        return []
+    ends = np.concatenate([[0], np.cumsum(length)])
+    s1 = np.concatenate([[0.0], np.cumsum(value * length)])
+    s2 = np.concatenate([[0.0], np.cumsum(value**2 * length)])
+    m = len(length)
     best = np.empty(m + 1)
     best[0] = -penalty
     last = np.zeros(m + 1, dtype=np.int64)
@@ -111,9 +130,13 @@ def dynamic_segments(comments: DataFrame, settings: Settings = DEFAULT) -> DataF
     def cut(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bin")
         at, n = g["bin"].to_numpy(), g["n"].to_numpy()
-        signal = np.zeros(int(at[-1]) + 1)
-        signal[at] = n
-        starts = np.array([0, *change_points(signal, penalty)])
+        # runs of the signal: occupied seconds and the gaps between them
+        gaps = np.diff(np.append(at, at[-1] + 1)) - 1
+        value = np.stack([n, np.zeros(len(n))], axis=1).ravel()
+        length = np.stack([np.ones(len(n), dtype=np.int64), gaps], axis=1).ravel()
+        value, length = value[length > 0], length[length > 0]
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        starts = np.array([0, *change_points_of_runs(value[first], np.add.reduceat(length, first), penalty)])
         seg = np.searchsorted(starts, at, side="right") - 1
         parts = [[int(starts[k]), int(n[seg == k].sum()), float(g["t0"].to_numpy()[seg == k].min()), float(g["t1"].to_numpy()[seg == k].max())] for k in np.unique(seg)]
         merged = _merge(parts, least)

@@ -25,11 +25,23 @@ def descriptives(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.round(F.min(v), 9).alias("min"), F.round(F.max(v), 9).alias("max"), F.count("*").alias("count"), F.round(q[0], 9).alias("q25"), F.round(q[1], 9).alias("q75"))
 
 
+def _span(v: Column) -> Column:
+    """A number that rises with the value: 4,096 spans per power of two, so that values of any scale are spread over many."""
+    at = F.floor(F.log2(F.abs(v)) * 4096) + 5_000_000
+    return F.when(v > 0, at).when(v < 0, -at).otherwise(F.lit(0)).cast("long")
+
+
 def _ranked(cells: DataFrame, within: Sequence[str]) -> DataFrame:
-    """Average ranks from counts per distinct value: cells (within, group, value, c). Ties are one cell, so the window sees distinct values only."""
-    tot = cells.groupBy(*within, "value").agg(F.sum("c").alias("t"))
-    before = F.coalesce(F.sum("t").over(W.partitionBy(*within).orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cells.join(tot.select(*within, "value", "t", (before + (F.col("t") + 1) / F.lit(2.0)).alias("rank")), [*within, "value"])
+    """Average ranks from counts per distinct value: cells (within, group, value, c). Ties are one cell. Values are ranked within their span and
+    shifted by the counts of the spans before, so no window sees all values of a group."""
+    tot = cells.groupBy(*within, "value").agg(F.sum("c").alias("t")).withColumn("_span", _span(F.col("value")))
+    up_to = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    spans = tot.groupBy(*within, "_span").agg(F.sum("t").alias("_n"))
+    spans = spans.select(*within, "_span", F.coalesce(F.sum("_n").over(up_to(*within).orderBy("_span")), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("t").over(up_to(*within, "_span").orderBy("value")), F.lit(0))
+    ranked = tot.withColumn("_inside", inside).join(spans, [*within, "_span"])
+    rank = F.col("_before") + F.col("_inside") + (F.col("t") + 1) / F.lit(2.0)
+    return cells.join(ranked.select(*within, "value", "t", rank.alias("rank")), [*within, "value"])
 
 
 def average_ranks(df: DataFrame, within: Sequence[str], group: str, value: str) -> DataFrame:

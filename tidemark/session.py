@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,11 +71,29 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at the end, the tables that queries built inside have written to the shared folder. Their results must have been used or
+    written by then."""
+    begin = len(_written)
+    try:
+        yield
+    finally:
+        fs = spark._jvm.org.apache.hadoop.fs
+        while len(_written) > begin:
+            path = fs.Path(_written.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back: the lineage ends there, so a lost
-    executor costs no recomputation of what came before, and several readers share one result."""
+    executor costs no recomputation of what came before, and several readers share one result. ``scratch`` removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,7 +26,12 @@ def arrivals_per_window(comments: DataFrame, window: str = "1 hour", lateness: s
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what has arrived and return it, from a memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process what has arrived and return it: 'append' adds each batch to a table below the checkpoint's folder, 'complete' replaces it. Rows never pass the driver."""
+    out, schema = f"{checkpoint}/rows", stream.schema
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+
+    q = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(schema).parquet(out)
