@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "weighted_hard"
-_MODULES = ("data_problems", "pipelines", "corpus_queries", "more_queries")
+_MODULES = ("data_problems", "pipelines", "corpus_queries", "more_queries", "report_queries")
 
 
 def _all(attr: str) -> dict:

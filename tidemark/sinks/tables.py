@@ -9,13 +9,13 @@ import zipfile
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def wide(long: DataFrame, keys: Sequence[str], column: str, value: str, prefix: str = "") -> DataFrame:
-    """Long to wide with the observed names, sorted, as columns; missing values are 0."""
-    names = sorted(r[0] for r in long.select(column).distinct().collect() if r[0] is not None)
+def wide(long: DataFrame, keys: Sequence[str], column: str, value: str, prefix: str = "", names: Sequence[str] | None = None) -> DataFrame:
+    """Long to wide with ``names``, or else the observed ones, sorted, as columns; missing values are 0."""
+    names = list(names) if names else sorted(r[0] for r in long.select(column).distinct().collect() if r[0] is not None)
     w = long.groupBy(*keys).pivot(column, names).agg(F.first(value))
     return w.select(*keys, *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(f"{prefix}{n}") for n in names])
 
@@ -161,6 +161,3 @@ def methodology(settings, fixed: bool = False, tests: bool = False) -> str:
         text.append("Groups were compared by Kruskal-Wallis tests, pairs by Mann-Whitney tests with Cliff's delta, zones by paired Wilcoxon tests; no correction for multiple tests was made.")
     return "\n\n".join(text)
 
-
-def prompt_line(start: Column, end: Column) -> Column:
-    return F.format_string("%.1f-%.1f", start, end)
