@@ -107,7 +107,7 @@ def split_inputs(c: Column) -> Column:
 
 
 def parse_input(c: Column) -> Column:
-    """STRUCT(input_type, bvid, avid) of a video reference: an id, a number, or a page address."""
+    """STRUCT(input_type, bvid, avid) of a video reference: an id, a number, a page address, or a short link, which has no id of its own."""
     t = trimmed(c)
     bv, av = t.rlike("(?i)^BV[a-zA-Z0-9]{10}$"), F.regexp_extract(t, "(?i)^av(\\d+)$", 1)
     site = "(?i)https?://www\\.bilibili\\.com/video/"
@@ -115,7 +115,8 @@ def parse_input(c: Column) -> Column:
                         F.nullif(F.regexp_extract(t, "(?i)https?://player\\.bilibili\\.com/player\\.html\\?.*?bvid=(BV[a-zA-Z0-9]{10})", 1), F.lit("")))
     url_av = F.coalesce(F.nullif(F.regexp_extract(t, site + "av(\\d+)", 1), F.lit("")),
                         F.nullif(F.regexp_extract(t, "(?i)https?://player\\.bilibili\\.com/player\\.html\\?.*?aid=(\\d+)", 1), F.lit("")))
-    kind = F.when(bv, "bv").when(av != "", "av").when(url_bv.isNotNull() | url_av.isNotNull(), "url").otherwise("unknown")
+    short = t.rlike("(?i)^https?://b23\\.tv/[a-zA-Z0-9]+")
+    kind = F.when(bv, "bv").when(av != "", "av").when(url_bv.isNotNull() | url_av.isNotNull() | short, "url").otherwise("unknown")
     bvid = F.when(bv, F.concat(F.lit("BV"), F.substring(t, 3, 10))).when((av == "") & url_bv.isNotNull(), F.concat(F.lit("BV"), F.substring(url_bv, 3, 10)))
     avid = F.when(~bv & (av != ""), av).when(~bv & url_bv.isNull(), url_av)
     return F.struct(kind.alias("input_type"), bvid.alias("bvid"), avid.try_cast("long").alias("avid"))

@@ -46,7 +46,7 @@ def corpus_groups(obs: DataFrame, measures: Sequence[str] = MEASURES, granularit
     for m in measures:
         x = F.coalesce(m, F.lit(0.0))
         out += [F.round(F.avg(x), 9).alias(f"{m}_mean"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 9).alias(f"{m}_std")]
-    return g.agg(*out)
+    return g.agg(*out).orderBy("tname", "time_period", "zone_type")
 
 
 def small_groups(groups: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -72,10 +72,11 @@ def as_of(index: DataFrame, moment: str, column: str = "analyzed_at") -> DataFra
 
 
 def partition_gaps(index: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(tname, have, min_required, missing); blank names count as 'unknown'."""
+    """(tname, have, min_required, missing), the fullest first, then by name; blank names count as 'unknown'."""
     n = F.lit(settings.min_videos_per_partition)
-    return index.groupBy(F.coalesce(blank_to_null(F.col("tname")), F.lit("unknown")).alias("tname")).agg(F.count("*").alias("have")).select(
+    gaps = index.groupBy(F.coalesce(blank_to_null(F.col("tname")), F.lit("unknown")).alias("tname")).agg(F.count("*").alias("have")).select(
         "tname", "have", n.cast("long").alias("min_required"), F.greatest(n - F.col("have"), F.lit(0)).cast("long").alias("missing"))
+    return gaps.orderBy(F.desc("have"), "tname")
 
 
 def candidates(found: DataFrame, indexed: DataFrame, per_partition: int, size: str = "danmaku_count") -> DataFrame:

@@ -13,6 +13,7 @@ class Settings:
     significance_alpha: float = 0.05
     min_videos_per_partition: int = 3
     zone_policy: str = "hot_only"
+    temporal_grouping: bool = False
     temporal_granularity: str = "year"
     fixed_step: int = 30
     min_segment_samples: int = 30
