@@ -12,13 +12,17 @@ from tidemark.functions import text as T
 
 def hard_metrics(comments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per group: comments, words, characters, mean word length, share of content words (parts of speech n*, v*, a*), share of comments
-    with emphasis or emoji, syllable shares, and upper-case runs, digit runs and emoticons per 1000 characters.
-    ``tokens`` (array of words) is used if the table has it, else the built-in tokeniser. Zero where nothing is counted."""
-    c = comments if "tokens" in comments.columns else comments.withColumn("tokens", T.tokens(F.col("content")))
-    over = lambda f: F.aggregate("tokens", F.lit(0), lambda a, w: a + f(w).cast("int"))
+    with emphasis or emoji, syllable shares, and upper-case runs, digit runs and emoticons per 1000 characters. Words come from ``tagged`` (words with parts
+    of speech, see ``tokenise``) or ``tokens`` (words) if the table has one of them, else from the built-in tokeniser. Zero where nothing is counted."""
+    lexical = "tagged" in comments.columns
+    c = comments if lexical or "tokens" in comments.columns else comments.withColumn("tokens", T.tokens(F.col("content")))
+    col = "tagged" if lexical else "tokens"
+    word = (lambda x: x.word) if lexical else (lambda x: x)
+    pos = (lambda x: x.pos) if lexical else T.shape_pos
+    over = lambda f: F.aggregate(col, F.lit(0), lambda a, w: a + f(w).cast("int"))
     per = c.select(
-        *keys, F.size("tokens").alias("words"), over(lambda w: T.word_chars(w)).alias("chars"), over(lambda w: T.shape_pos(w).rlike("^[nva]")).alias("content_words"),
-        over(lambda w: F.length(w) == 1).alias("w1"), over(lambda w: F.length(w) == 2).alias("w2"),
+        *keys, F.size(col).alias("words"), over(lambda w: T.word_chars(word(w))).alias("chars"), over(lambda w: pos(w).rlike("^[nva]")).alias("content_words"),
+        over(lambda w: F.length(word(w)) == 1).alias("w1"), over(lambda w: F.length(word(w)) == 2).alias("w2"),
         (T.has_emphasis(F.col("content")) | T.has_emoji(F.col("content"))).alias("marked"),
         T.upper_runs(F.col("content")).alias("upper"), T.digit_runs(F.col("content")).alias("digits"), T.emoticons(F.col("content")).alias("faces"))
     s = lambda x: F.sum(x).cast("double")
@@ -36,7 +40,16 @@ def hard_metrics(comments: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def pos_distribution(comments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Long form: (keys, pos, ratio)."""
-    w = comments.select(*keys, F.explode(T.tokens(F.col("content"))).alias("w")).select(*keys, T.shape_pos(F.col("w")).alias("pos"))
+    if "tagged" in comments.columns:
+        w = comments.select(*keys, F.explode("tagged").alias("w")).select(*keys, F.col("w.pos").alias("pos"))
+    else:
+        w = comments.select(*keys, F.explode(T.tokens(F.col("content"))).alias("w")).select(*keys, T.shape_pos(F.col("w")).alias("pos"))
     counts = w.groupBy(*keys, "pos").agg(F.count("*").alias("n"))
     total = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
     return counts.join(total, list(keys)).select(*keys, "pos", F.round(F.col("n") / F.col("_t"), 6).alias("ratio"))
+
+
+def complete(metrics: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row for every group, with zeros where it has no comments."""
+    rest = [c for c in metrics.columns if c not in keys]
+    return groups.select(*keys).distinct().join(metrics, list(keys), "left").na.fill(0, rest)

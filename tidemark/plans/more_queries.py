@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregate import weighted_soft
+from tidemark.operators.lexical import hard_metrics
+from tidemark.operators.tokenise import tagged
+from tidemark.plans import views as V
 from tidemark.plans.pipelines import RECORDS, _records
-from tidemark.session import shared_dir, table
+from tidemark.session import blank_to_null, shared_dir, table
 from tidemark.sinks import tables as K
 from tidemark.streaming import streams
 
@@ -38,6 +41,13 @@ def q_stream_arrivals(s, sf):
     return streams.run_once(streams.arrivals_per_window(_stream(s, sf)), name, f"{shared_dir(s)}/{name}", "complete")
 
 
+def q_lexicon_metrics(s, sf):
+    """Lexical measures per video, the tags of all videos and the categories serving as a lexicon of names."""
+    words = table(s, sf, "videos").select(F.explode("tags").alias("word")).unionByName(table(s, sf, "partition_lookup").select(blank_to_null(F.col("tname")).alias("word")))
+    lexicon = words.select("word", F.lit(None).cast("long").alias("freq"), F.lit("nz").alias("pos"))
+    return hard_metrics(tagged(V.comments(s, sf).select("bvid", "content"), lexicon), ["bvid"])
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 SQL = {
     "coder_rows": RECORDS + """ SELECT bvid, tname, zone_type, dm_id, e AS emotion, CASE WHEN fst THEN c1 ELSE c3 END AS emotion_confidence, v AS violated, i AS interaction_type, sf AS sentence_function, o AS orthography, consensus_level, round(jsd_score, 6) AS jsd_score, weight_multiplier FROM full_recs""",

@@ -270,6 +270,10 @@ SELECT tname, zone_type, dim, label, round(x / sum(x) OVER (PARTITION BY tname,
     "parse_input": r"""WITH v AS (SELECT DISTINCT bvid, cid FROM videos), f AS (SELECT DISTINCT unnest([bvid, 'av' || cid, 'https://www.bilibili.com/video/' || bvid || '?p=1', 'nothing']) AS ref FROM v)
 SELECT ref, CASE WHEN regexp_matches(ref, '^BV[a-zA-Z0-9]{10}$') THEN 'bv' WHEN regexp_matches(ref, '^av[0-9]+$') THEN 'av' WHEN ref LIKE 'https:%' THEN 'url' ELSE 'unknown' END AS input_type,
 nullif(regexp_extract(ref, 'BV[a-zA-Z0-9]{10}'), '') AS bvid, CAST(nullif(regexp_extract(ref, '^av([0-9]+)$', 1), '') AS BIGINT) AS avid FROM f""",
+    "text_functions": rf"""SELECT DISTINCT bvid, crawled_at, regexp_replace({TRIM.format("translate(title, '" + chr(92) + "/:*?" + chr(34) + "<>|', '_________')")}, '[. ]+$', '') AS file_name,
+{TRIM.format("replace(replace(replace(replace(replace(replace(regexp_replace(title, '</?em[^>]*>', '', 'g') || ' &amp; more ', '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')")} AS cleaned,
+replace(replace(replace(regexp_replace(replace(title || ' 5% & a_b', '\', chr(1)), '([&%$#_{{}}])', '\\\1', 'g'), '~', '\textasciitilde{{}}'), '^', '\textasciicircum{{}}'), chr(1), '\textbackslash{{}}') AS latex,
+replace(replace(replace(replace(replace(title || '<b>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS html FROM videos""",
     "weighted_hard": f"WITH {ZONES}" + _metrics("members", "bvid, segment_id") + f""", {NAMES} SELECT tname, zone_type, count(*) AS segments, CAST(sum(total_comments) AS BIGINT) AS danmaku_count,
 """ + ", ".join(f"round(sum({v} * total_comments) / sum(total_comments), 6) AS {v}" for v in SCALARS) + " FROM metrics JOIN zones USING (bvid, segment_id) LEFT JOIN names USING (bvid) GROUP BY tname, zone_type",
 }
