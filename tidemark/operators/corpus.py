@@ -38,19 +38,19 @@ def observations(zones: DataFrame, policy: str = DEFAULT.zone_policy, measures:
     return out if policy == "all" else out.withColumn("zone_type", F.lit(None).cast("string"))
 
 
-def corpus_groups(obs: DataFrame, measures: Sequence[str] = MEASURES, granularity: str | None = None) -> DataFrame:
-    """Per (tname, time_period, zone_type): videos, comments, mean and sample deviation (0 for one video) of each measure; a missing measure counts as 0."""
+def corpus_groups(obs: DataFrame, measures: Sequence[str] = MEASURES, granularity: str | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """Per (``within``, tname, time_period, zone_type): videos, comments, mean and sample deviation (0 for one video) of each measure; a missing measure counts as 0."""
     period = period_bucket(F.col("pubdate"), granularity) if granularity else F.lit("all")
-    g = obs.withColumn("time_period", period).groupBy("tname", "time_period", "zone_type")
+    g = obs.withColumn("time_period", period).groupBy(*within, "tname", "time_period", "zone_type")
     out = [F.count("*").alias("video_count"), F.sum("danmaku_count").alias("total_danmaku")]
     for m in measures:
         x = F.coalesce(m, F.lit(0.0))
         out += [F.round(F.avg(x), 9).alias(f"{m}_mean"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 9).alias(f"{m}_std")]
-    return g.agg(*out).orderBy("tname", "time_period", "zone_type")
+    return g.agg(*out).orderBy(*within, "tname", "time_period", "zone_type")
 
 
-def small_groups(groups: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    return groups.where(F.col("video_count") < settings.min_videos_per_partition).select("tname", "time_period", "zone_type", "video_count")
+def small_groups(groups: DataFrame, settings: Settings = DEFAULT, within: Sequence[str] = ()) -> DataFrame:
+    return groups.where(F.col("video_count") < settings.min_videos_per_partition).select(*within, "tname", "time_period", "zone_type", "video_count")
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -115,6 +115,6 @@ def wilcoxon_paired(pairs: DataFrame, within: Sequence[str], x: str, y: str) ->
     return j.select(*within, "n_pairs", stat.alias("statistic"), F.round(p, 6).alias("p_value"))
 
 
-def sample_status(df: DataFrame, group: str, least: int) -> DataFrame:
-    g = df.where(F.col(group).isNotNull() & (F.trim(F.col(group)) != "")).groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("n"))
-    return g.select("grp", "n", F.when(F.col("n") >= least, "ok").otherwise("insufficient_sample").alias("status"))
+def sample_status(df: DataFrame, group: str, least: int, within: Sequence[str] = ()) -> DataFrame:
+    g = df.where(F.col(group).isNotNull() & (F.trim(F.col(group)) != "")).groupBy(*within, F.col(group).alias("grp")).agg(F.count("*").alias("n"))
+    return g.select(*within, "grp", "n", F.when(F.col("n") >= least, "ok").otherwise("insufficient_sample").alias("status"))

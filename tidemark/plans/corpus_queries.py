@@ -19,10 +19,9 @@ def _zones(s: SparkSession, sf: str) -> DataFrame:
     return K.zone_rows(table(s, sf, "corpus_snapshots"))
 
 
-def _latest(s: SparkSession, sf: str, policy: str) -> DataFrame:
-    z = _zones(s, sf)
-    last = z.agg(F.max("snapshot_no").alias("snapshot_no"))
-    return K.observations(z.join(last, "snapshot_no", "left_semi"), policy)
+def _observed(s: SparkSession, sf: str, policy: str) -> DataFrame:
+    """The observations of every delivery; what follows is computed for each ``snapshot_no``."""
+    return K.observations(_zones(s, sf), policy)
 
 
 def _rounded(df: DataFrame, columns=MEASURES) -> DataFrame:
@@ -31,7 +30,7 @@ def _rounded(df: DataFrame, columns=MEASURES) -> DataFrame:
 
 def _long(s: SparkSession, sf: str) -> DataFrame:
     """Measures in long form, rounded so that equal values are ties."""
-    return X.melt(_rounded(_latest(s, sf, "weighted")), ["bvid", "tname"], MEASURES)
+    return X.melt(_rounded(_observed(s, sf, "weighted")), ["snapshot_no", "bvid", "tname"], MEASURES)
 
 
 def q_zone_policy_hot(s, sf):
@@ -52,11 +51,11 @@ def q_period_bucket(s, sf):
 
 
 def q_corpus_group(s, sf):
-    return K.corpus_groups(_latest(s, sf, "all"))
+    return K.corpus_groups(_observed(s, sf, "all"), within=["snapshot_no"])
 
 
 def q_small_groups(s, sf):
-    return K.small_groups(K.corpus_groups(_latest(s, sf, "all"), granularity="quarter"))
+    return K.small_groups(K.corpus_groups(_observed(s, sf, "all"), granularity="quarter", within=["snapshot_no"]), within=["snapshot_no"])
 
 
 def q_descriptives(s, sf):
@@ -65,38 +64,38 @@ def q_descriptives(s, sf):
 
 
 def q_snapshot_descriptives(s, sf):
-    return X.descriptives(X.melt(_latest(s, sf, "weighted"), ["bvid", "tname"], MEASURES), ["tname", "metric"], "value")
+    return X.descriptives(X.melt(_observed(s, sf, "weighted"), ["snapshot_no", "bvid", "tname"], MEASURES), ["snapshot_no", "tname", "metric"], "value")
 
 
 def q_average_ranks(s, sf):
-    r = X.average_ranks(_latest(s, sf, "weighted"), [], "tname", "danmaku_count")
-    return r.select("grp", "value", "c", "t", "rank")
+    r = X.average_ranks(_observed(s, sf, "weighted"), ["snapshot_no"], "tname", "danmaku_count")
+    return r.select("snapshot_no", "grp", "value", "c", "t", "rank")
 
 
 def q_kruskal_wallis(s, sf):
-    return X.kruskal_wallis(_long(s, sf), ["metric"], "tname", "value").drop("p_value")
+    return X.kruskal_wallis(_long(s, sf), ["snapshot_no", "metric"], "tname", "value").drop("p_value")
 
 
 def q_kruskal_p(s, sf):
-    return X.kruskal_wallis(_long(s, sf), ["metric"], "tname", "value")
+    return X.kruskal_wallis(_long(s, sf), ["snapshot_no", "metric"], "tname", "value")
 
 
 def q_mann_whitney(s, sf):
-    return X.mann_whitney(_long(s, sf), ["metric"], "tname", "value").drop("p_value")
+    return X.mann_whitney(_long(s, sf), ["snapshot_no", "metric"], "tname", "value").drop("p_value")
 
 
 def q_mann_whitney_p(s, sf):
-    return X.mann_whitney(_long(s, sf), ["metric"], "tname", "value")
+    return X.mann_whitney(_long(s, sf), ["snapshot_no", "metric"], "tname", "value")
 
 
 def q_wilcoxon(s, sf):
-    o = X.melt(_rounded(_latest(s, sf, "all")), ["bvid", "zone_type"], MEASURES)
-    pick = lambda z, name: o.where(F.col("zone_type") == z).select("bvid", "metric", F.col("value").alias(name))
-    return X.wilcoxon_paired(pick("hot_zone", "x").join(pick("cold_zone", "y"), ["bvid", "metric"]), ["metric"], "x", "y").drop("p_value")
+    o = X.melt(_rounded(_observed(s, sf, "all")), ["snapshot_no", "bvid", "zone_type"], MEASURES)
+    pick = lambda z, name: o.where(F.col("zone_type") == z).select("snapshot_no", "bvid", "metric", F.col("value").alias(name))
+    return X.wilcoxon_paired(pick("hot_zone", "x").join(pick("cold_zone", "y"), ["snapshot_no", "bvid", "metric"]), ["snapshot_no", "metric"], "x", "y").drop("p_value")
 
 
 def q_sample_status(s, sf):
-    return X.sample_status(_latest(s, sf, "weighted"), "tname", 30)
+    return X.sample_status(_observed(s, sf, "weighted"), "tname", 30, ["snapshot_no"])
 
 
 def q_index_upsert(s, sf):
@@ -132,20 +131,19 @@ def q_work_left(s, sf):
 
 
 def q_heatmap_long(s, sf):
-    g = _latest(s, sf, "all").groupBy(F.concat_ws("_", "tname", "zone_type").alias("key")).agg(*[F.round(F.avg(m), 9).alias(m) for m in MEASURES])
-    return g.unpivot(["key"], [*MEASURES], "metric", "value")
+    g = _observed(s, sf, "all").groupBy("snapshot_no", F.concat_ws("_", "tname", "zone_type").alias("key")).agg(*[F.round(F.avg(m), 9).alias(m) for m in MEASURES])
+    return g.unpivot(["snapshot_no", "key"], [*MEASURES], "metric", "value")
 
 
 def q_corpus_compare(s, sf):
-    obs = _rounded(_latest(s, sf, "weighted")).withColumn("time_period", period_bucket(F.col("pubdate"), "year"))
-    return corpus_compare(obs)
+    obs = _rounded(_observed(s, sf, "weighted")).withColumn("time_period", period_bucket(F.col("pubdate"), "year"))
+    return corpus_compare(obs, within=["snapshot_no"])
 
 
 def q_corpus_compare_periods(s, sf):
-    """One category: compared by year, and zones in pairs."""
-    obs = _rounded(_latest(s, sf, "all")).withColumn("time_period", period_bucket(F.col("pubdate"), "year"))
-    largest = obs.groupBy("tname").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "tname").limit(1)
-    return corpus_compare(obs.join(largest, "tname", "left_semi"))
+    """Within every category: compared by year, and zones in pairs."""
+    obs = _rounded(_observed(s, sf, "all")).withColumn("time_period", period_bucket(F.col("pubdate"), "year"))
+    return corpus_compare(obs, group="time_period", within=["snapshot_no", "tname"], paired=True)
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -154,38 +152,38 @@ _ONCE = "once AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITI
 _MEANS = ", ".join(f"(CASE WHEN sum(danmaku_count) > 0 THEN sum({m} * danmaku_count) / nullif(sum(CASE WHEN {m} IS NOT NULL THEN danmaku_count END), 0) ELSE avg({m}) END) AS {m}" for m in MEASURES)
 _R = ", ".join(f"round({m}, 9) AS {m}" for m in MEASURES)
 _HEAD = "arg_min(tname, zone_type) AS tname, arg_min(prompt_version, zone_type) AS prompt_version, CAST(sum(danmaku_count) AS BIGINT) AS danmaku_count"
-_LAST = f"{_ONCE}, lastz AS (SELECT * FROM once WHERE snapshot_no = (SELECT max(snapshot_no) FROM once))"
-_WEIGHTED = f"{_LAST}, obs AS (SELECT bvid, {_HEAD}, {_MEANS} FROM lastz GROUP BY bvid)"
-_ALL = f"{_LAST}, obs AS (SELECT bvid, zone_type, arg_min(pubdate, zone_type) AS pubdate, {_HEAD}, {_MEANS} FROM lastz GROUP BY bvid, zone_type)"
+_LAST = f"{_ONCE}, lastz AS (SELECT * FROM once)"
+_WEIGHTED = f"{_LAST}, obs AS (SELECT snapshot_no, bvid, {_HEAD}, {_MEANS} FROM lastz GROUP BY snapshot_no, bvid)"
+_ALL = f"{_LAST}, obs AS (SELECT snapshot_no, bvid, zone_type, arg_min(pubdate, zone_type) AS pubdate, {_HEAD}, {_MEANS} FROM lastz GROUP BY snapshot_no, bvid, zone_type)"
 _LONG = "long AS (UNPIVOT (SELECT {0}, " + _R + " FROM obs) ON " + ", ".join(MEASURES) + " INTO NAME metric VALUE value)"
 _QUARTER = "CASE WHEN try_cast(replace(pubdate, 'T', ' ') AS TIMESTAMP) IS NULL THEN 'unknown' ELSE strftime(try_cast(replace(pubdate, 'T', ' ') AS TIMESTAMP), '{0}') END"
 _TS = "try_cast(replace(pubdate, 'T', ' ') AS TIMESTAMP)"
 _DESC = """round(avg({0}), 9) AS mean, round(median({0}), 9) AS median, round(coalesce(stddev_samp({0}), 0), 9) AS std, round(min({0}), 9) AS min, round(max({0}), 9) AS max, count(*) AS count, round(quantile_cont({0}, 0.25), 9) AS q25, round(quantile_cont({0}, 0.75), 9) AS q75"""
 _RANKS = """ranked AS (SELECT *, rank() OVER (PARTITION BY {1} ORDER BY value) + (count(*) OVER (PARTITION BY {0}) - 1) / 2e0 AS rk, count(*) OVER (PARTITION BY {0}) AS t FROM {2})"""
-_PAIRS = f"""WITH {_WEIGHTED}, {_LONG.format("bvid, tname")}, names AS (SELECT DISTINCT metric, tname FROM long WHERE tname IS NOT NULL), pr AS (SELECT a.metric, a.tname AS group_a, b.tname AS group_b FROM names a JOIN names b ON a.metric = b.metric AND a.tname < b.tname),
-src AS (SELECT p.metric, group_a, group_b, l.tname, l.value FROM pr p JOIN long l ON l.metric = p.metric AND l.tname IN (p.group_a, p.group_b)),
-{_RANKS.format("metric, group_a, group_b, value", "metric, group_a, group_b", "src")}, g AS (SELECT metric, group_a, group_b, sum(CASE WHEN tname = group_a THEN rk ELSE 0 END) AS r1, count(*) FILTER (tname = group_a) AS n_a, count(*) FILTER (tname = group_b) AS n_b FROM ranked GROUP BY ALL),
+_PAIRS = f"""WITH {_WEIGHTED}, {_LONG.format("snapshot_no, bvid, tname")}, names AS (SELECT DISTINCT snapshot_no, metric, tname FROM long WHERE tname IS NOT NULL), pr AS (SELECT a.snapshot_no, a.metric, a.tname AS group_a, b.tname AS group_b FROM names a JOIN names b ON a.snapshot_no = b.snapshot_no AND a.metric = b.metric AND a.tname < b.tname),
+src AS (SELECT p.snapshot_no, p.metric, group_a, group_b, l.tname, l.value FROM pr p JOIN long l ON l.snapshot_no = p.snapshot_no AND l.metric = p.metric AND l.tname IN (p.group_a, p.group_b)),
+{_RANKS.format("snapshot_no, metric, group_a, group_b, value", "snapshot_no, metric, group_a, group_b", "src")}, g AS (SELECT snapshot_no, metric, group_a, group_b, sum(CASE WHEN tname = group_a THEN rk ELSE 0 END) AS r1, count(*) FILTER (tname = group_a) AS n_a, count(*) FILTER (tname = group_b) AS n_b FROM ranked GROUP BY ALL),
 h AS (SELECT *, r1 - n_a * (n_a + 1) / 2e0 AS u FROM g), k AS (SELECT *, 2e0 * u / (CAST(n_a AS DOUBLE) * n_b) - 1e0 AS d FROM h)
-SELECT metric, group_a, group_b, n_a, n_b, u, round(d, 4) AS cliff_delta, CASE WHEN abs(d) < 0.147e0 THEN 'negligible' WHEN abs(d) < 0.33e0 THEN 'small' WHEN abs(d) < 0.474e0 THEN 'medium' ELSE 'large' END AS magnitude FROM k"""
+SELECT snapshot_no, metric, group_a, group_b, n_a, n_b, u, round(d, 4) AS cliff_delta, CASE WHEN abs(d) < 0.147e0 THEN 'negligible' WHEN abs(d) < 0.33e0 THEN 'small' WHEN abs(d) < 0.474e0 THEN 'medium' ELSE 'large' END AS magnitude FROM k"""
 
 SQL = {
     "zone_policy_hot": f"WITH {_ONCE}, obs AS (SELECT snapshot_no, bvid, {_HEAD}, {_MEANS} FROM once WHERE zone_type = 'hot_zone' GROUP BY snapshot_no, bvid) SELECT snapshot_no, bvid, tname, prompt_version, danmaku_count, {_R} FROM obs",
     "zone_policy_weighted": f"WITH {_ONCE}, obs AS (SELECT snapshot_no, bvid, {_HEAD}, {_MEANS} FROM once GROUP BY snapshot_no, bvid) SELECT snapshot_no, bvid, tname, prompt_version, danmaku_count, {_R} FROM obs",
     "zone_policy_all": f"WITH {_ONCE}, obs AS (SELECT snapshot_no, bvid, zone_type, {_HEAD}, {_MEANS} FROM once GROUP BY snapshot_no, bvid, zone_type) SELECT snapshot_no, bvid, zone_type, tname, prompt_version, danmaku_count, {_R} FROM obs",
     "period_bucket": f"""SELECT DISTINCT pubdate, coalesce(strftime({_TS}, '%Y'), 'unknown') AS year, coalesce(strftime({_TS}, '%Y') || '-Q' || quarter({_TS}), 'unknown') AS quarter, coalesce(strftime({_TS}, '%Y-%m'), 'unknown') AS month FROM corpus_snapshots""",
-    "corpus_group": f"WITH {_ALL} SELECT tname, 'all' AS time_period, zone_type, count(*) AS video_count, CAST(sum(danmaku_count) AS BIGINT) AS total_danmaku, " + ", ".join(f"round(avg(coalesce({m}, 0)), 9) AS {m}_mean, round(coalesce(stddev_samp(coalesce({m}, 0)), 0), 9) AS {m}_std" for m in MEASURES) + " FROM obs GROUP BY tname, zone_type",
-    "small_groups": f"WITH {_ALL}, g AS (SELECT tname, coalesce(strftime({_TS}, '%Y') || '-Q' || quarter({_TS}), 'unknown') AS time_period, zone_type, count(*) AS video_count FROM obs GROUP BY ALL) SELECT * FROM g WHERE video_count < 3",
+    "corpus_group": f"WITH {_ALL} SELECT snapshot_no, tname, 'all' AS time_period, zone_type, count(*) AS video_count, CAST(sum(danmaku_count) AS BIGINT) AS total_danmaku, " + ", ".join(f"round(avg(coalesce({m}, 0)), 9) AS {m}_mean, round(coalesce(stddev_samp(coalesce({m}, 0)), 0), 9) AS {m}_std" for m in MEASURES) + " FROM obs GROUP BY snapshot_no, tname, zone_type",
+    "small_groups": f"WITH {_ALL}, g AS (SELECT snapshot_no, tname, coalesce(strftime({_TS}, '%Y') || '-Q' || quarter({_TS}), 'unknown') AS time_period, zone_type, count(*) AS video_count FROM obs GROUP BY ALL) SELECT * FROM g WHERE video_count < 3",
     "descriptives": f"SELECT c_mktsegment, {_DESC.format('o_totalprice')} FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
-    "snapshot_descriptives": f"WITH {_WEIGHTED}, {_LONG.format('bvid, tname').replace(_R, ", ".join(MEASURES))} SELECT tname, metric, {_DESC.format('value')} FROM long GROUP BY tname, metric",
-    "average_ranks": f"WITH {_WEIGHTED}, src AS (SELECT tname, danmaku_count AS value FROM obs WHERE tname IS NOT NULL), {_RANKS.format('value', '1', 'src')} SELECT tname AS grp, value, count(*) AS c, any_value(t) AS t, any_value(rk) AS rank FROM ranked GROUP BY tname, value",
-    "kruskal_wallis": f"""WITH {_WEIGHTED}, {_LONG.format("bvid, tname")}, {_RANKS.format("metric, value", "metric", "long")}, per AS (SELECT metric, tname, sum(rk) AS rs, count(*) AS m FROM ranked GROUP BY ALL),
-g AS (SELECT metric, count(*) AS k, CAST(sum(m) AS BIGINT) AS n, sum(rs * rs / m) AS q FROM per GROUP BY metric), ti AS (SELECT metric, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT DISTINCT metric, value, t FROM ranked) GROUP BY metric),
-h AS (SELECT metric, k, n, (12e0 / (n * (n + 1e0)) * q - 3e0 * (n + 1e0)) / (1e0 - ties / (CAST(n AS DOUBLE) * n * n - n)) AS h FROM g JOIN ti USING (metric)) SELECT metric, k, n, round(h, 4) AS h, round(greatest(0e0, (h - k + 1e0) / (n - k)), 4) AS epsilon_squared FROM h WHERE k >= 2""",
+    "snapshot_descriptives": f"WITH {_WEIGHTED}, {_LONG.format('snapshot_no, bvid, tname').replace(_R, ", ".join(MEASURES))} SELECT snapshot_no, tname, metric, {_DESC.format('value')} FROM long GROUP BY snapshot_no, tname, metric",
+    "average_ranks": f"WITH {_WEIGHTED}, src AS (SELECT snapshot_no, tname, danmaku_count AS value FROM obs WHERE tname IS NOT NULL), {_RANKS.format('snapshot_no, value', 'snapshot_no', 'src')} SELECT snapshot_no, tname AS grp, value, count(*) AS c, any_value(t) AS t, any_value(rk) AS rank FROM ranked GROUP BY snapshot_no, tname, value",
+    "kruskal_wallis": f"""WITH {_WEIGHTED}, {_LONG.format("snapshot_no, bvid, tname")}, {_RANKS.format("snapshot_no, metric, value", "snapshot_no, metric", "long")}, per AS (SELECT snapshot_no, metric, tname, sum(rk) AS rs, count(*) AS m FROM ranked GROUP BY ALL),
+g AS (SELECT snapshot_no, metric, count(*) AS k, CAST(sum(m) AS BIGINT) AS n, sum(rs * rs / m) AS q FROM per GROUP BY ALL), ti AS (SELECT snapshot_no, metric, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT DISTINCT snapshot_no, metric, value, t FROM ranked) GROUP BY ALL),
+h AS (SELECT snapshot_no, metric, k, n, (12e0 / (n * (n + 1e0)) * q - 3e0 * (n + 1e0)) / (1e0 - ties / (CAST(n AS DOUBLE) * n * n - n)) AS h FROM g JOIN ti USING (snapshot_no, metric)) SELECT snapshot_no, metric, k, n, round(h, 4) AS h, round(greatest(0e0, (h - k + 1e0) / (n - k)), 4) AS epsilon_squared FROM h WHERE k >= 2""",
     "mann_whitney": _PAIRS,
-    "wilcoxon": f"""WITH {_ALL}, {_LONG.format("bvid, zone_type")}, d AS (SELECT h.metric, round(h.value - c.value, 9) AS d FROM long h JOIN long c ON h.bvid = c.bvid AND h.metric = c.metric WHERE h.zone_type = 'hot_zone' AND c.zone_type = 'cold_zone'),
-src AS (SELECT metric, sign(d) AS s, abs(d) AS value FROM d WHERE d <> 0), {_RANKS.format("metric, value", "metric", "src")} SELECT metric, n_pairs, least(coalesce(wp, 0), coalesce(wm, 0)) AS statistic FROM (SELECT metric, count(*) AS n_pairs FROM d GROUP BY metric)
-JOIN (SELECT metric, sum(rk) FILTER (s > 0) AS wp, sum(rk) FILTER (s < 0) AS wm FROM ranked GROUP BY metric) USING (metric)""",
-    "sample_status": f"WITH {_WEIGHTED} SELECT tname AS grp, count(*) AS n, CASE WHEN count(*) >= 30 THEN 'ok' ELSE 'insufficient_sample' END AS status FROM obs WHERE trim(tname) <> '' GROUP BY tname",
+    "wilcoxon": f"""WITH {_ALL}, {_LONG.format("snapshot_no, bvid, zone_type")}, d AS (SELECT h.snapshot_no, h.metric, round(h.value - c.value, 9) AS d FROM long h JOIN long c ON h.snapshot_no = c.snapshot_no AND h.bvid = c.bvid AND h.metric = c.metric WHERE h.zone_type = 'hot_zone' AND c.zone_type = 'cold_zone'),
+src AS (SELECT snapshot_no, metric, sign(d) AS s, abs(d) AS value FROM d WHERE d <> 0), {_RANKS.format("snapshot_no, metric, value", "snapshot_no, metric", "src")} SELECT snapshot_no, metric, n_pairs, CASE WHEN wp IS NULL AND wm IS NULL THEN n_pairs * n_pairs / 2e0 ELSE least(coalesce(wp, 0), coalesce(wm, 0)) END AS statistic FROM (SELECT snapshot_no, metric, count(*) AS n_pairs FROM d GROUP BY ALL)
+LEFT JOIN (SELECT snapshot_no, metric, sum(rk) FILTER (s > 0) AS wp, sum(rk) FILTER (s < 0) AS wm FROM ranked GROUP BY ALL) USING (snapshot_no, metric)""",
+    "sample_status": f"WITH {_WEIGHTED} SELECT snapshot_no, tname AS grp, count(*) AS n, CASE WHEN count(*) >= 30 THEN 'ok' ELSE 'insufficient_sample' END AS status FROM obs WHERE trim(tname) <> '' GROUP BY snapshot_no, tname",
     "index_upsert": "SELECT bvid, crawled_at, view_count FROM (SELECT bvid, crawled_at, coalesce(view_count, -1) AS view_count, row_number() OVER (PARTITION BY bvid ORDER BY crawled_at DESC, coalesce(view_count, -1) DESC) AS rn FROM videos) WHERE rn = 1",
     "index_as_of": "SELECT bvid, strftime(crawled_at, '%Y-%m-%dT%H:%M:%S') AS analyzed_at FROM videos WHERE strftime(crawled_at, '%Y-%m-%dT%H:%M:%S') <= '2023-02-01T00:00:00'",
     "partition_gaps": f"WITH {_NAMES} SELECT coalesce(tname, 'unknown') AS tname, count(*) AS have, CAST(3 AS BIGINT) AS min_required, greatest(3 - count(*), 0) AS missing FROM names GROUP BY 1",
@@ -194,5 +192,5 @@ SELECT bvid, tname, danmaku_count, pick FROM (SELECT *, row_number() OVER (PARTI
     "raw_union": """WITH u AS (SELECT bvid, content FROM comments UNION ALL SELECT json_extract_string(payload, '$.bvid'), json_extract_string(payload, '$.content') FROM (SELECT payload FROM raw_comments WHERE json_valid(payload)))
 SELECT bvid, count(*) AS n, count(content) AS with_text FROM u GROUP BY bvid""",
     "work_left": "SELECT DISTINCT bvid FROM comments WHERE bvid NOT IN (SELECT bvid FROM videos)",
-    "heatmap_long": f"WITH {_ALL}, g AS (SELECT tname || '_' || zone_type AS key, " + ", ".join(f"round(avg({m}), 9) AS {m}" for m in MEASURES) + " FROM obs GROUP BY 1) UNPIVOT g ON " + ", ".join(MEASURES) + " INTO NAME metric VALUE value",
+    "heatmap_long": f"WITH {_ALL}, g AS (SELECT snapshot_no, tname || '_' || zone_type AS key, " + ", ".join(f"round(avg({m}), 9) AS {m}" for m in MEASURES) + " FROM obs GROUP BY 1, 2) UNPIVOT g ON " + ", ".join(MEASURES) + " INTO NAME metric VALUE value",
 }
