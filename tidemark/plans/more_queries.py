@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregate import weighted_soft
+from tidemark.operators.consensus import EMOTION
 from tidemark.operators.lexical import hard_metrics
 from tidemark.operators.tokenise import tagged
 from tidemark.plans import views as V
@@ -23,7 +24,7 @@ def q_coder_rows(s: SparkSession, sf: str) -> DataFrame:
 
 def q_wide_emotion(s, sf):
     soft = weighted_soft(_records(s, sf), ["tname", "zone_type"]).where("dim = 'emotion'")
-    return K.wide(soft, ["tname", "zone_type"], "label", "ratio")
+    return K.wide(soft, ["tname", "zone_type"], "label", "ratio", names=EMOTION)
 
 
 def q_heatmap_json(s, sf):

@@ -13,7 +13,7 @@ from tidemark.operators import sampling as P
 from tidemark.operators import segments as S
 from tidemark.operators.comments import UNKNOWN, dedup_stats, first_per_user
 from tidemark.plans import views as V
-from tidemark.session import table
+from tidemark.session import materialise, table
 
 SCALARS = ("avg_word_length", "content_word_density", "punctuation_emoji_rate")
 
@@ -99,9 +99,10 @@ def q_token_estimate(s, sf):
 
 
 def _records(s, sf) -> DataFrame:
-    m = P.head_per_segment(V.members(s, sf))
+    members = materialise(V.members(s, sf), "members")  # read twice
+    m = P.head_per_segment(members)
     r = C.reconcile(V.paths(m.select("bvid", "segment_id", "dm_id")))
-    z = V.zones(V.members(s, sf)).select("bvid", "segment_id", "zone_type", F.col("n").alias("segment_n"))
+    z = V.zones(members).select("bvid", "segment_id", "zone_type", F.col("n").alias("segment_n"))
     return r.join(z, ["bvid", "segment_id"]).join(V.names(s, sf), "bvid", "left")
 
 
@@ -126,7 +127,7 @@ def q_weighted_soft(s, sf):
 
 
 def q_weighted_hard(s, sf):
-    m = V.members(s, sf)
+    m = materialise(V.members(s, sf), "members")
     x = L.hard_metrics(m, ["bvid", "segment_id"]).join(V.zones(m).select("bvid", "segment_id", "zone_type"), ["bvid", "segment_id"]).join(V.names(s, sf), "bvid", "left")
     return A.weighted_hard(x, SCALARS, keys=["tname", "zone_type"])
 
