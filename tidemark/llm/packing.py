@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +33,12 @@ def _tokenizer(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def _shipped(path: str) -> str:
+    """Where the file lies on this machine: the copy that came with the job, else the path itself."""
+    copy = SparkFiles.get(os.path.basename(path))
+    return copy if os.path.isfile(copy) else path
+
+
 def token_counts(texts: Sequence[str | None], path: str = VOCABULARY) -> list[int]:
     distinct = list({t for t in texts if t})
     sizes = dict(zip(distinct, map(len, _tokenizer(path).encode(distinct, num_threads=1)), strict=True)) if distinct else {}
@@ -138,11 +144,11 @@ def places(kinds: list[Kind]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndar
     return {x: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for x, r in rows.items()}
 
 
-def _measure(capacity: int, path: str):
+def _measure(capacity: int, vocabulary: str):
     """Pieces of each text with their sizes; ``nth`` numbers the pieces of one size within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
+        task, path = TaskContext.get().partitionId(), _shipped(vocabulary)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
@@ -169,6 +175,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, sizes: Sequence[int] = SIZES,
     pieces share is no burden. A null or empty text has 0 tokens and a null container. Repeated rows are packed each.
     """
     capacity = max(sizes)
+    docs.sparkSession.sparkContext.addFile(vocabulary)  # executors need no copy of their own
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     schema = "id bigint, piece int, start bigint, tokens int, nth bigint, task int"
     pieces = materialise(src.mapInArrow(_measure(capacity, vocabulary), schema), "pieces")
