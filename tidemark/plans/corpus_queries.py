@@ -66,7 +66,8 @@ def q_descriptives(s, sf):
 def q_snapshot_descriptives(s, sf):
     """Of the measures of all zone rows, in millionths: sums of whole numbers do not depend on the order of rows."""
     obs = _observed(s, sf, "all").withColumns({m: F.round(F.col(m) * 1e6) for m in MEASURES})
-    return X.descriptives(X.melt(obs, ["snapshot_no", "bvid", "tname"], MEASURES), ["snapshot_no", "tname", "metric"], "value")
+    d = X.descriptives(X.melt(obs, ["snapshot_no", "bvid", "tname"], MEASURES), ["snapshot_no", "tname", "metric"], "value")
+    return d.withColumns({c: F.round(c, 3) for c in ("mean", "median", "std", "q25", "q75")})
 
 
 def q_average_ranks(s, sf):
@@ -176,7 +177,7 @@ SQL = {
     "corpus_group": f"WITH {_ALL} SELECT snapshot_no, tname, 'all' AS time_period, zone_type, count(*) AS video_count, CAST(sum(danmaku_count) AS BIGINT) AS total_danmaku, " + ", ".join(f"round(avg(coalesce({m}, 0)), 9) AS {m}_mean, round(coalesce(stddev_samp(coalesce({m}, 0)), 0), 9) AS {m}_std" for m in MEASURES) + " FROM obs GROUP BY snapshot_no, tname, zone_type",
     "small_groups": f"WITH {_ALL}, g AS (SELECT snapshot_no, tname, coalesce(strftime({_TS}, '%Y') || '-Q' || quarter({_TS}), 'unknown') AS time_period, zone_type, count(*) AS video_count FROM obs GROUP BY ALL) SELECT * FROM g WHERE video_count < 3",
     "descriptives": f"SELECT c_mktsegment, {_DESC.format('o_totalprice')} FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
-    "snapshot_descriptives": f"WITH {_ALL}, {_LONG.format('snapshot_no, bvid, tname').replace(_R, ', '.join(f'round({m} * 1e6) AS {m}' for m in MEASURES))} SELECT snapshot_no, tname, metric, {_DESC.format('value')} FROM long GROUP BY snapshot_no, tname, metric",
+    "snapshot_descriptives": f"WITH {_ALL}, {_LONG.format('snapshot_no, bvid, tname').replace(_R, ', '.join(f'round({m} * 1e6) AS {m}' for m in MEASURES))} SELECT * REPLACE (round(mean, 3) AS mean, round(median, 3) AS median, round(std, 3) AS std, round(q25, 3) AS q25, round(q75, 3) AS q75) FROM (SELECT snapshot_no, tname, metric, {_DESC.format('value')} FROM long GROUP BY snapshot_no, tname, metric)",
     "average_ranks": f"WITH {_WEIGHTED}, src AS (SELECT snapshot_no, tname, danmaku_count AS value FROM obs WHERE tname IS NOT NULL), {_RANKS.format('snapshot_no, value', 'snapshot_no', 'src')} SELECT snapshot_no, tname AS grp, value, count(*) AS c, any_value(t) AS t, any_value(rk) AS rank FROM ranked GROUP BY snapshot_no, tname, value",
     "kruskal_wallis": f"""WITH {_WEIGHTED}, {_LONG.format("snapshot_no, bvid, tname")}, {_RANKS.format("snapshot_no, metric, value", "snapshot_no, metric", "long")}, per AS (SELECT snapshot_no, metric, tname, sum(rk) AS rs, count(*) AS m FROM ranked GROUP BY ALL),
 g AS (SELECT snapshot_no, metric, count(*) AS k, CAST(sum(m) AS BIGINT) AS n, sum(rs * rs / m) AS q FROM per GROUP BY ALL), ti AS (SELECT snapshot_no, metric, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM (SELECT DISTINCT snapshot_no, metric, value, t FROM ranked) GROUP BY ALL),
