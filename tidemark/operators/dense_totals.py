@@ -61,7 +61,7 @@ def dense_totals(df: DataFrame, key: str, values: Sequence[str] = (), flush: int
     2. Keys get global ordinals; the partial totals, at most one row per key and split, are cut into
        blocks of 4096 ordinals, and the blocks, as arrays, are summed in two levels: first over about the square
        root of the number of splits, then over those.
-    No row is shuffled by its key. Cases: null keys are left out, null values count as 0, an empty table gives no
+    No input row is shuffled; the partial totals, one row per key and split, are joined to the ordinals by key. Cases: null keys are left out, null values count as 0, an empty table gives no
     rows, extra columns are ignored.
     """
     k = len(values)
