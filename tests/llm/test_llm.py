@@ -159,6 +159,18 @@ def test_abuse_windows():
     assert same[0] == same[1] == same[2]
 
 
+@data
+def test_abuse_keeps_harmless_texts(spark):
+    """Comments with a text that both raters call harmless, many with words of abuse in them, are not reported at the shipped threshold."""
+    large = SF.replace("0.001", "0.1")
+    samples, c = spark.read.parquet(f"{large}/moderation_samples.parquet"), spark.read.parquet(f"{large}/comments.parquet")
+    good = samples.where("rater_a = 0 and rater_b = 0").select(F.trim("content").alias("content")).distinct()
+    got = abuse.scored(c, "content", ["content"], samples).withColumn("content", F.trim("content")).join(good, "content")
+    reported = F.count_if(F.col("score") >= abuse.THRESHOLD)
+    n, bad = got.agg(F.count("*"), reported).first()
+    assert n > 10_000 and bad <= 0.001 * n
+
+
 def test_abuse_does_not_depend_on_copies(spark):
     """The same text gets the same logit however often the collection holds texts; the ratios see shares of distinct texts."""
     s = abuse_samples(spark)
